@@ -1,0 +1,5 @@
+"""Nothing stateful lives here: the work this library covers has no stream operator.
+
+The row-local parts (``foldstone.functions.features.add_features``, ``foldstone.functions.scalar``
+and ``transform`` of a fitted model) accept a streaming DataFrame unchanged; the tests hold them to it.
+"""
