@@ -116,8 +116,8 @@ def search_blend(
     limits = rough.select(
         "candidate", "w", composite(F.col("f1"), F.col("low")).alias("least"),
         composite(F.col("f1"), F.col("high")).alias("most"))
-    floor = limits.agg(F.max("least").alias("floor"))
-    alive = limits.join(F.broadcast(floor), F.col("most") >= F.col("floor") - 1e-9)
+    floor = limits.agg(F.max("least")).scalar()
+    alive = limits.withColumn("floor", floor).where(F.col("most") >= F.col("floor") - 1e-9)
     # At most one entry per candidate of the given list.
     chosen = alive.agg(F.collect_list(F.struct("candidate", "w"))).scalar()
     rows = _blended(known.withColumn("__w", chosen), models, F.col("__w"))

@@ -75,7 +75,7 @@ def missing_summary(df: DataFrame, top: int = 30) -> DataFrame:
     """Columns with missing cells, most first: (name, missing)."""
     return (
         _per_column(df, lambda c: F.sum(F.col(c).isNull().cast("bigint")), "missing")
-        .where("missing > 0").orderBy(F.desc("missing"), "name").limit(top)
+        .drop("rows").where("missing > 0").orderBy(F.desc("missing"), "name").limit(top)
     )
 
 
@@ -156,9 +156,9 @@ def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) ->
     placed = df.where(x.isNotNull()).select(*by, x.alias("x"), limits.alias("lim"))
     width = (F.col("lim.hi") - F.col("lim.lo")) / F.lit(float(bins))
     index = F.floor(F.try_divide(F.col("x") - F.col("lim.lo"), width))
-    return placed.select(
-        *by, F.coalesce(F.least(index, F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin")
-    ).groupBy(*by, "bin").agg(F.count("*").alias("rows"))
+    last = F.when(index < bins, index).otherwise(F.lit(bins - 1))
+    slot = F.when(index.isNull(), F.lit(0)).otherwise(last)  # no width: one value
+    return placed.select(*by, slot.cast("int").alias("bin")).groupBy(*by, "bin").agg(F.count("*").alias("rows"))
 
 
 def group_context(
@@ -203,8 +203,8 @@ def mutual_information(
     def code(i: int, c: str) -> Column:
         lo, hi = F.col(f"__box.lo{i}"), F.col(f"__box.hi{i}")
         at = F.floor(F.try_divide((F.col(c).cast("double") - lo) * bins, hi - lo))
-        return F.coalesce(F.least(at, F.lit(bins - 1)),
-                          F.when(F.col(c).isNotNull(), F.lit(0)).otherwise(F.lit(-1)))
+        return (F.when(F.col(c).isNull(), F.lit(-1)).when(at.isNull(), F.lit(0))
+                .when(at < bins, at).otherwise(F.lit(bins - 1)))
 
     cells = F.array(*[F.struct(F.lit(c).alias("name"), code(i, c).cast("int").alias("bin"))
                       for i, c in enumerate(columns)])

@@ -40,11 +40,17 @@ def exact_quantiles(
 
     groups = long.groupBy(*by, "name").agg(
         F.count("*").alias("n"), sketch(low).alias("low"), sketch(high).alias("high"))
+
+    def bracket(end, i, open_end):
+        # The margin is a share of the rows: with few rows it is less than one rank, so keep all.
+        few = F.col("n") < 10 * SKETCH_ACCURACY
+        return F.when(few, F.lit(float(open_end))).otherwise(F.col(end)[i])
+
     spec = F.array(*[
         F.struct(
             F.lit(float(p)).alias("prob"),
-            (F.lit(float("-inf")) if low[i] == 0 else F.col("low")[i]).alias("lo"),
-            (F.lit(float("inf")) if high[i] == 1 else F.col("high")[i]).alias("hi"),
+            (F.lit(float("-inf")) if low[i] == 0 else bracket("low", i, "-inf")).alias("lo"),
+            (F.lit(float("inf")) if high[i] == 1 else bracket("high", i, "inf")).alias("hi"),
         ) for i, p in enumerate(probs)])
     # One row per (by, column): lookup_join counts it before broadcasting.
     marks = groups.select(*by, "name", "n", spec.alias("spec"))

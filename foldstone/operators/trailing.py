@@ -50,7 +50,7 @@ def trailing_windows(
             f"mean_{n}d": F.avg("value").over(frame),
             f"max_{n}d": F.max("value").over(frame),
             f"min_{n}d": F.min("value").over(frame),
-            f"median_{n}d": F.median("value").over(frame),
+            f"median_{n}d": F.percentile("value", F.lit(0.5)).over(frame),
             f"days_above_{n}d": F.coalesce(F.sum(high).over(frame), F.lit(0)),
         }
     windows = days.select(place, "day", *[m.alias(n) for n, m in measures.items()])
