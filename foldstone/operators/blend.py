@@ -52,9 +52,14 @@ def _candidate_array(candidates: Sequence[Sequence[float]]):
 
 
 def _blended(wide: DataFrame, models: Sequence[str], weights) -> DataFrame:
-    """(y, candidate, w, p): each row once per candidate.  Candidates are a short fixed list."""
+    """(y, candidate, p): each row once per candidate.  Candidates are a short fixed list."""
     p = reduce(lambda a, b: a + b, [F.col("w")[i] * F.col(m) for i, m in enumerate(models)])
-    return wide.select("y", *models, F.inline(weights)).select("y", "candidate", "w", p.alias("p"))
+    return wide.select("y", *models, F.inline(weights)).select("y", "candidate", p.alias("p"))
+
+
+def _with_weights(scored: DataFrame, candidates: Sequence[Sequence[float]]) -> DataFrame:
+    entry = F.element_at(_candidate_array(candidates), F.col("candidate") + 1)
+    return scored.withColumn("w", entry["w"])
 
 
 def blend_scores(
@@ -64,10 +69,14 @@ def blend_scores(
     """(candidate, w, f1, auc, score) of every candidate weight tuple, in list order."""
     rows = _blended(wide.where(F.col(y).isNotNull()).withColumn("y", F.col(y)), models,
                     _candidate_array(candidates))
-    by = ["candidate", "w"]
-    scored = confusion(rows, "y", "p", by).join(
+    return _with_weights(_scored(rows), candidates)
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    """(candidate, f1, auc, score); one row per candidate on both sides of the join."""
+    scored = confusion(rows, "y", "p", ["candidate"]).join(
         F.broadcast(roc_auc(rows, "y", "p", ["candidate"])), "candidate")
-    return scored.select("candidate", "w", "f1", "auc").withColumn(
+    return scored.select("candidate", "f1", "auc").withColumn(
         "score", composite(F.col("f1"), F.col("auc")))
 
 
@@ -79,14 +88,14 @@ def first_best(scored: DataFrame) -> DataFrame:
 
 
 def auc_limits(rows: DataFrame) -> DataFrame:
-    """(candidate, w, f1, low, high): exact F1 and bounds on AUC from a score histogram.
+    """(candidate, f1, low, high): exact F1 and bounds on AUC from a score histogram.
 
     Pairs in different bins are decided; pairs within a bin count nothing for the lower and one
     for the upper bound.  The histogram is combined map-side: no row is shuffled.
     """
     hit, label = label_of(F.col("p")) == 1, F.col("y") == 1
     slot = F.least(F.floor(F.col("p") * HISTOGRAM_BINS), F.lit(HISTOGRAM_BINS - 1))
-    cells = rows.groupBy("candidate", "w", slot.alias("slot")).agg(
+    cells = rows.groupBy("candidate", slot.alias("slot")).agg(
         F.count_if(label).alias("pos"), F.count_if(~label).alias("neg"),
         F.count_if(hit & label).alias("tp"), F.count_if(hit & ~label).alias("fp"))
     # HISTOGRAM_BINS rows per candidate at most
@@ -95,7 +104,7 @@ def auc_limits(rows: DataFrame) -> DataFrame:
     ranked = cells.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     pos = F.col("pos").cast("double")
     pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return ranked.groupBy("candidate", "w").agg(
+    return ranked.groupBy("candidate").agg(
         f1_of(F.sum("tp"), F.sum("fp"), F.sum("pos") - F.sum("tp")).alias("f1"),
         F.try_divide(F.sum(pos * F.col("under")), pairs).alias("low"),
         F.try_divide(F.sum(pos * (F.col("under") + F.col("neg"))), pairs).alias("high"))
@@ -114,15 +123,12 @@ def search_blend(
     known = wide.where(F.col(y).isNotNull()).select(F.col(y).alias("y"), *models)
     rough = auc_limits(_blended(known, models, _candidate_array(candidates)))
     limits = rough.select(
-        "candidate", "w", composite(F.col("f1"), F.col("low")).alias("least"),
+        "candidate", composite(F.col("f1"), F.col("low")).alias("least"),
         composite(F.col("f1"), F.col("high")).alias("most"))
     floor = limits.agg(F.max("least")).scalar()
     alive = limits.withColumn("floor", floor).where(F.col("most") >= F.col("floor") - 1e-9)
     # At most one entry per candidate of the given list.
-    chosen = alive.agg(F.collect_list(F.struct("candidate", "w"))).scalar()
+    chosen = _with_weights(alive, candidates).agg(
+        F.collect_list(F.struct("candidate", "w"))).scalar()
     rows = _blended(known.withColumn("__w", chosen), models, F.col("__w"))
-    by = ["candidate", "w"]
-    scored = confusion(rows, "y", "p", by).join(
-        F.broadcast(roc_auc(rows, "y", "p", ["candidate"])), "candidate")
-    return first_best(scored.select("candidate", "w", "f1", "auc").withColumn(
-        "score", composite(F.col("f1"), F.col("auc"))))
+    return first_best(_with_weights(_scored(rows), candidates))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldstone import constants as K
-from foldstone.operators.joins import lookup_join
+from foldstone.operators.joins import counted, lookup_join
 from foldstone.operators.ranks import prefix_sums
 
 
@@ -45,12 +45,13 @@ def target_encode_oof(
             F.sum("s").over(whole) - F.col("s"), F.sum("n").over(whole) - F.col("n"))
             .alias("__prior"))
         df = df.join(F.broadcast(priors), fold, "left")
-    table = stats.select("name", "key", fold, rest_sum.alias("s"), rest_n.alias("n")).persist()
+    table, small = counted(
+        stats.select("name", "key", fold, rest_sum.alias("s"), rest_n.alias("n")))
     for c in columns:
         part = table.where(F.col("name") == c).select(
             F.col("key").alias("__key"), fold, F.col("s").alias("__s"), F.col("n").alias("__n"))
         df = df.withColumn("__key", F.col(c).cast("string"))
-        df = lookup_join(df, part, ["__key", fold]).withColumn(
+        df = lookup_join(df, part, ["__key", fold], small=small).withColumn(
             f"{c}_te",
             F.coalesce((F.col("__s") + a * F.col("__prior")) / (F.col("__n") + a),
                        F.col("__prior"))).drop("__key", "__s", "__n")
@@ -75,14 +76,14 @@ def target_encode_full(
     smoothing: float = K.SMOOTHING,
 ) -> DataFrame:
     """Add ``<column>_te`` to unlabelled rows from all training rows; new values get the mean."""
-    table = target_means(train, columns, target, smoothing).persist()
+    table, small = counted(target_means(train, columns, target, smoothing))
     mean = train.where(F.col(target).isNotNull()).agg(F.avg(target)).scalar()
     for c in columns:
         part = table.where(F.col("name") == c).select(
             F.col("key").alias("__key"), F.col("encoding").alias("__e"))
         apply_to = lookup_join(
-            apply_to.withColumn("__key", F.col(c).cast("string")), part, ["__key"]
-        ).withColumn(f"{c}_te", F.col("__e")).drop("__key", "__e")
+            apply_to.withColumn("__key", F.col(c).cast("string")), part, ["__key"],
+            small=small).withColumn(f"{c}_te", F.col("__e")).drop("__key", "__e")
     return apply_to.withColumn("__prior", mean).withColumns(
         {f"{c}_te": F.coalesce(F.col(f"{c}_te"), F.col("__prior")) for c in columns}
     ).drop("__prior")

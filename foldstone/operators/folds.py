@@ -42,6 +42,17 @@ def group_folds(
     return ranked.withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__rank")
 
 
+def complement_rates(df: DataFrame, fold: str = "fold", target: str = "target") -> DataFrame:
+    """(fold, rows, rate) over the rows outside each fold: totals minus the fold's own sums, so one
+    pass serves every fold."""
+    own = df.groupBy(fold).agg(
+        F.count("*").alias("n"), F.count(target).alias("m"), F.sum(target).alias("s"))
+    every = Window.partitionBy(F.lit(0))  # one row per fold
+    rest = {c: F.sum(c).over(every) - F.col(c) for c in ("n", "m", "s")}
+    return own.select(fold, rest["n"].alias("rows"), F.try_divide(rest["s"], rest["m"])
+                      .alias("rate"))
+
+
 def class_weights(df: DataFrame, target: str = "target") -> DataFrame:
     """(target, rows, weight) with weight = n / (classes * rows of the class)."""
     counts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("rows"))

@@ -26,19 +26,27 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1")
 
 
+def counted(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """The table, persisted, and whether it is small enough to broadcast.
+
+    Counting and later joining compute the table once.
+    """
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    return table, table.count() <= max_rows
+
+
 def lookup_join(
     df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Join a small aggregate to many rows, broadcasting it only after counting it.
+    """Join an aggregate to many rows, broadcasting it only when counted as small.
 
-    The aggregate is persisted, so counting and joining compute it once.  Above ``max_rows`` the
-    join is left to Spark: the lookup side is unique per key, so AQE can split hot keys.
+    Pass ``small`` when the table is part of one that ``counted`` has measured.  Larger tables
+    are joined as Spark sees fit: the lookup side is unique per key, so AQE can split hot keys.
     """
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    if table.count() <= max_rows:
-        table = F.broadcast(table)
-    return df.join(table, list(on), how)
+    if small is None:
+        table, small = counted(table)
+    return df.join(F.broadcast(table) if small else table, list(on), how)
 
 
 def map_with_default(

@@ -13,10 +13,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELL_ROWS = 1024
+CELL_ROWS = 128
 MAX_DEPTH = 16
 SAMPLE_PER_CELL = 8
 MAX_SAMPLE = 262_144
@@ -67,6 +68,9 @@ def nearest_join(
         F.min("rid").alias("rid"))
     asked = queries.select(F.col(query_id).alias("qid"), *coords)
     probes = asked.groupBy(*at).agg(F.min("qid").alias("probe"))
+    # Both are narrow and read several times below.
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    probes = probes.persist(StorageLevel.MEMORY_AND_DISK)
 
     total = points.count()
     depth = int(np.clip(np.ceil(np.log2(max(total, 1) / CELL_ROWS)), 0, MAX_DEPTH))

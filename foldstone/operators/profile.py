@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldstone.functions import scalar as S
-from foldstone.operators.joins import lookup_join
+from foldstone.operators.joins import counted, lookup_join
 from foldstone.operators.quantiles import exact_quantiles, melt, wide_quantiles
 
 QUARTILES = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
@@ -172,9 +172,8 @@ def group_context(
     stats = [F.avg(m).alias(f"mean_{m}") for m in measures]
     if with_std:
         stats += [F.stddev_samp(m).alias(f"std_{m}") for m in measures]
-    table = df.groupingSets([[g] for g in groups], *groups).agg(
-        F.grouping_id().alias("__set"), *stats)
-    table = table.persist()
+    table, small = counted(df.groupingSets([[g] for g in groups], *groups).agg(
+        F.grouping_id().alias("__set"), *stats))
     full = 2 ** len(groups) - 1
     for i, g in enumerate(groups):
         own = full - 2 ** (len(groups) - 1 - i)
@@ -182,7 +181,7 @@ def group_context(
         if with_std:
             names += [F.col(f"std_{m}").alias(f"{m}_std_by_{g}") for m in measures]
         part = table.where((F.col("__set") == own) & F.col(g).isNotNull()).select(g, *names)
-        df = lookup_join(df, part, [g]).withColumns({
+        df = lookup_join(df, part, [g], small=small).withColumns({
             f"{m}_diff_from_{g}_mean": F.col(m) - F.col(f"{m}_mean_by_{g}") for m in measures})
     return df
 

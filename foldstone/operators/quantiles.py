@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.operators.joins import lookup_join
+from foldstone.operators.joins import counted, lookup_join
 from foldstone.operators.ranks import prefix_sums
 
 SKETCH_ACCURACY = 10_000
@@ -43,7 +43,7 @@ def exact_quantiles(
 
     def bracket(end, i, open_end):
         # The margin is a share of the rows: with few rows it is less than one rank, so keep all.
-        few = F.col("n") < 10 * SKETCH_ACCURACY
+        few = F.col("n") < 2 * SKETCH_ACCURACY
         return F.when(few, F.lit(float(open_end))).otherwise(F.col(end)[i])
 
     spec = F.array(*[
@@ -52,10 +52,10 @@ def exact_quantiles(
             (F.lit(float("-inf")) if low[i] == 0 else bracket("low", i, "-inf")).alias("lo"),
             (F.lit(float("inf")) if high[i] == 1 else bracket("high", i, "inf")).alias("hi"),
         ) for i, p in enumerate(probs)])
-    # One row per (by, column): lookup_join counts it before broadcasting.
-    marks = groups.select(*by, "name", "n", spec.alias("spec"))
+    # One row per (by, column), counted before it is broadcast.
+    marks, small = counted(groups.select(*by, "name", "n", spec.alias("spec")))
     inside = (
-        lookup_join(long, marks.drop("n"), [*by, "name"], "inner")
+        lookup_join(long, marks.drop("n"), [*by, "name"], "inner", small)
         .select(*by, "name", "value", F.inline("spec"))
         .where("value <= hi")
         .select(*by, "name", "prob", F.when(F.col("value") >= F.col("lo"), F.col("value"))
@@ -63,7 +63,7 @@ def exact_quantiles(
         .groupBy(*by, "name", "prob", "value").agg(F.count("*").alias("rows"))
     )
     ranked = prefix_sums(inside, [*by, "name", "prob"], "value", ["rows"])
-    sized = lookup_join(ranked, marks.drop("spec"), [*by, "name"], "inner")
+    sized = lookup_join(ranked, marks.drop("spec"), [*by, "name"], "inner", small)
     place = F.col("prob") * (F.col("n") - 1)
 
     def holds(rank):

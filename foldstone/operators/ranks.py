@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,8 @@ def prefix_sums(
     hot, cost one row.  NULL orders first.
     """
     keys = list(keys)
+    # Read three times (limits, range totals, ranks): keep the aggregate, spilling to disk.
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = range_number(df, order, keys, "__range")
     below = Window.partitionBy(*keys).orderBy("__range").rowsBetween(
         Window.unboundedPreceding, -1)

@@ -11,6 +11,13 @@ from foldstone import constants as K
 from foldstone.operators.ranks import all_equal
 
 
+def _middle(ordered: Column) -> Column:
+    """Median of a sorted array: at most one value per day of the window."""
+    n = F.size(ordered)
+    low, high = F.get(ordered, ((n - 1) / 2).cast("int")), F.get(ordered, (n / 2).cast("int"))
+    return (low + high) / F.lit(2.0)
+
+
 def daily_series(
     readings: DataFrame, place: str, day: str, value: str, measure=F.sum
 ) -> DataFrame:
@@ -50,7 +57,7 @@ def trailing_windows(
             f"mean_{n}d": F.avg("value").over(frame),
             f"max_{n}d": F.max("value").over(frame),
             f"min_{n}d": F.min("value").over(frame),
-            f"median_{n}d": F.percentile("value", F.lit(0.5)).over(frame),
+            f"median_{n}d": _middle(F.sort_array(F.collect_list("value").over(frame))),
             f"days_above_{n}d": F.coalesce(F.sum(high).over(frame), F.lit(0)),
         }
     windows = days.select(place, "day", *[m.alias(n) for n, m in measures.items()])

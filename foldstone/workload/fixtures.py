@@ -18,7 +18,7 @@ from foldstone.sources.tables import table
 
 SPLIT = "case when substr(md5(cast(o_orderkey as string)), 1, 2) < '33' then 'test' else 'train' end"
 TARGET = "cast(o_orderstatus = 'F' or o_totalprice < 60000 as int)"
-SCORE = "least(0.999e0, greatest(0.001e0, 1e0 - o_totalprice / 5e5))"
+SCORE = "least(0.999e0, greatest(0.001e0, 1e0 - floor(o_totalprice / 5e0) / 1e5))"
 
 RECORD_COLUMNS = {
     "record_id": "o_orderkey",

@@ -67,10 +67,7 @@ def class_weights(spark, sf):
     "(select distinct fold from folded) k on f.fold <> k.fold group by k.fold", "folded"))
 def fold_complement_stats(spark, sf):
     df = folds.stratified_folds(X.train(spark, sf).select("record_id", "target"))
-    parts = [pseudo.fold_complement(df, f).agg(
-        F.count("*").alias("row_count"), F.avg("target").alias("rate")).withColumn(
-        "fold", F.lit(f)) for f in range(K.FOLDS)]
-    return tidy(reduce(lambda a, b: a.unionByName(b), parts))
+    return tidy(folds.complement_rates(df).withColumnRenamed("rows", "row_count"))
 
 
 # ------------------------------------------------------------------ encodings
@@ -197,7 +194,7 @@ def blend_predictions(spark, sf):
 
 
 _MEMBERS = ("select record_id, model, s.seed, (record_id + s.seed) % 5 as fold, "
-            "p * (1e0 - cast((record_id + s.seed) % 5 as double) / 64e0) as p from longs, "
+            "p * (1e0 - cast((record_id + s.seed) % 5 as double) / 7e0) as p from longs, "
             f"(values {', '.join(f'({s})' for s in K.SEED_BAG)}) s(seed)")
 
 
@@ -209,7 +206,7 @@ def fold_average(spark, sf):
     seeds = F.explode(F.array(*[F.lit(s) for s in K.SEED_BAG]))
     df = X.long_scores(spark, sf).withColumn("seed", seeds).withColumn(
         "fold", (F.col("record_id") + F.col("seed")) % 5)
-    df = df.withColumn("p", F.col("p") * (F.lit(1.0) - F.col("fold").cast("double") / 64.0))
+    df = df.withColumn("p", F.col("p") * (F.lit(1.0) - F.col("fold").cast("double") / 7.0))
     return tidy(blend.fold_average(df))
 
 
