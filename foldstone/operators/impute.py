@@ -17,6 +17,7 @@ MAX_WIDE_CATEGORIES = 1_000
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact median per column; columns without any value are absent."""
     rows = exact_quantiles(df, columns, [0.5]).select("name", "value").collect()
     return {r["name"]: r["value"] for r in rows}
 
@@ -71,8 +72,11 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
 
 def standardize(fit: DataFrame, apply_to: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Centre and scale by the population deviation of ``fit``; constant columns only centre."""
-    found = moments(fit, columns)
-    return apply_to.withColumns({
+    return apply_moments(apply_to, moments(fit, columns))
+
+
+def apply_moments(df: DataFrame, found: dict[str, tuple[float, float]]) -> DataFrame:
+    return df.withColumns({
         c: (F.col(c) - F.lit(m)) / F.lit(s if s else 1.0)
         for c, (m, s) in found.items() if m is not None})
 

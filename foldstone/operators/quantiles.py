@@ -16,6 +16,7 @@ from foldstone.operators.joins import counted, lookup_join
 from foldstone.operators.ranks import prefix_sums
 
 SKETCH_ACCURACY = 10_000
+SMALL_ROWS = 200_000
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -26,9 +27,13 @@ def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataF
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
-    """(by..., name, prob, value): quantiles interpolated between the two nearest ranks."""
+    """(by..., name, prob, value): quantiles interpolated between the two nearest ranks.
+
+    Where no group has more than ``small_rows`` values the built-in exact percentile is used.
+    """
     by = list(by)
     long = melt(df, columns, by)
     margin = 2.0 / SKETCH_ACCURACY
@@ -54,6 +59,11 @@ def exact_quantiles(
         ) for i, p in enumerate(probs)])
     # One row per (by, column), counted before it is broadcast.
     marks, small = counted(groups.select(*by, "name", "n", spec.alias("spec")))
+    largest = marks.agg(F.max("n")).first()[0] or 0
+    if largest <= small_rows:
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        return long.groupBy(*by, "name").agg(F.percentile("value", wanted).alias("v")).select(
+            *by, "name", F.inline(F.arrays_zip(wanted.alias("prob"), F.col("v").alias("value"))))
     inside = (
         lookup_join(long, marks.drop("n"), [*by, "name"], "inner", small)
         .select(*by, "name", "value", F.inline("spec"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldstone import constants as K
-from foldstone.operators.impute import add_class_weight, median_impute, standardize
+from foldstone.operators.impute import add_class_weight, apply_moments, medians, moments
 from foldstone.operators.pseudo import augment, fold_complement
 from foldstone.operators.ranks import hash_text
 
@@ -100,15 +100,21 @@ PRESETS: dict[str, Preset] = {
 }
 
 
-def prepare(df: DataFrame, features: Sequence[str], preset: Preset, fit_on: DataFrame,
-            ) -> DataFrame:
-    """Fill with the medians of the fitting rows, scale if the family needs it, assemble."""
+def preparation(
+    fit_on: DataFrame, features: Sequence[str], scaled: bool = False
+) -> Callable[[DataFrame], DataFrame]:
+    """Filling (and scaling) with numbers fitted once on the given rows, for any frame."""
     columns = list(features)
-    df = median_impute(fit_on, df, columns).fillna(0.0, subset=columns)
-    if preset.scaled:
-        df = standardize(median_impute(fit_on, fit_on, columns).fillna(0.0, subset=columns),
-                         df, columns)
-    return df
+    fills = {**dict.fromkeys(columns, 0.0), **medians(fit_on, columns)}
+
+    def fill(df: DataFrame) -> DataFrame:
+        return df.withColumns({
+            c: F.coalesce(F.col(c).cast("double"), F.lit(float(v))) for c, v in fills.items()})
+
+    if not scaled:
+        return fill
+    centre = moments(fill(fit_on), columns)
+    return lambda df: apply_moments(fill(df), centre)
 
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -156,16 +162,17 @@ def cross_fit(
     for f in range(k):
         own = fold_complement(train, f, fold)
         held = train.where(F.col(fold) == f)
-        filled = prepare(own, features, preset, own).persist()
+        prepare = preparation(own, features, preset.scaled)
+        filled = prepare(own).persist()
         fitted = fit(filled, features, preset, seed)
-        unlabelled = None if test is None else prepare(
-            test.select(*columns), features, preset, own)
+        unlabelled = None if test is None else prepare(test.select(*columns))
         if pseudo_threshold is not None and unlabelled is not None:
             scored = score(fitted, unlabelled, features).withColumn(
                 "target", F.lit(None).cast("int"))
             more = augment(filled.drop(fold), scored, pseudo_threshold).drop("is_pseudo")
             fitted = fit(more, features, preset, seed)
-        wanted = [("oof", prepare(held, features, preset, own))]
+        filled.unpersist()
+        wanted = [("oof", prepare(held))]
         if unlabelled is not None:
             wanted.append(("test", unlabelled))
         for kind, rows in wanted:

@@ -13,6 +13,7 @@ from foldstone import constants as K
 from foldstone.operators.folds import stratified_folds
 from foldstone.operators.metrics import score_metrics
 from foldstone.plans.models import PRESETS, cross_fit
+from foldstone.session import checkpoint
 
 WHOLE = ("trees", "depth", "leaf_rows")
 
@@ -45,16 +46,17 @@ def tune(
     ``df`` carries record_id, the features and target.  ``points`` replaces the drawn settings.
     The loop runs over settings, each a set of Spark jobs; only scores reach the driver.
     """
+    # Folds depend on the seed only: write them once and read them for every setting.
+    folded = {s: checkpoint(stratified_folds(df, k=k, seed=s)) for s in seeds}
     rows = []
     for family in families:
         drawn = (points or {}).get(family) or draw(family, trials_for(family, trials))
         for i, point in enumerate(drawn):
             scores = []
             for seed in seeds:
-                folded = stratified_folds(df, k=k, seed=seed)
                 preset = PRESETS[family].with_settings(**point)
-                oof = cross_fit(folded, None, features, family, preset, k=k, seed=seed)
-                labelled = oof.join(df.select("record_id", "target"), "record_id")
+                oof = cross_fit(folded[seed], None, features, family, preset, k=k, seed=seed)
+                labelled = oof.join(folded[seed].select("record_id", "target"), "record_id")
                 scores.append(score_metrics(labelled).first()["score"])
             rows.append((family, i, sum(scores) / len(scores), point))
     return df.sparkSession.createDataFrame(

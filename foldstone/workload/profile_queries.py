@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foldstone import constants as K
 from foldstone.functions import scalar as S
 from foldstone.operators import impute, joins, nearest, profile
+from foldstone.operators.quantiles import exact_quantiles, wide_quantiles
 from foldstone.sources.tables import table
 from foldstone.workload import fixtures as X
 from foldstone.workload.feature_queries import PLACE_SQL, _age_case
@@ -108,6 +109,19 @@ def describe_numeric(spark, sf):
                 .withColumnRenamed("rows", "row_count"))
 
 
+@query("quantiles_by_rank", (
+    "select l_returnflag, name, round(quantile_cont(value, 0.05), 6) as q05, "
+    "round(quantile_cont(value, 0.5), 6) as q50, round(quantile_cont(value, 0.95), 6) as q95 from ("
+    + _melt_sql(("l_extendedprice", "l_quantity", "l_discount"), "lineitem", "l_returnflag,")
+    + ") group by all"))
+def quantiles_by_rank(spark, sf):
+    """The path for large groups: bracket by sketch, rank inside the bracket."""
+    found = exact_quantiles(
+        table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"],
+        [0.05, 0.5, 0.95], ["l_returnflag"], small_rows=0)
+    return tidy(wide_quantiles(found, {0.05: "q05", 0.5: "q50", 0.95: "q95"}, ["l_returnflag"]))
+
+
 _MISSING = ("rain_sum_7d", "tavg_30d", "ndvi_90d", "elevation", "slope", "age", "zone")
 
 
