@@ -64,25 +64,23 @@ def prefix_sums(
     # Read three times (limits, range totals, ranks): keep the aggregate, spilling to disk.
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = range_number(df, order, keys, "__range")
-    below = Window.partitionBy(*keys).orderBy("__range").rowsBetween(
+    # A struct is never NULL and equals another with NULL in the same places, so plain equality on
+    # it joins NULL keys too, and the join and the window below share one hash partitioning.
+    group = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "__range")
+    ranged = ranged.select(*df.columns, group.alias("__g"))
+    key = [F.col(f"__g.k{i}") for i in range(len(keys))]
+    below = Window.partitionBy(*key).orderBy("__g.__range").rowsBetween(
         Window.unboundedPreceding, -1)
     # At most 2**RANGE_BITS rows per key.
     starts = (
-        ranged.groupBy(*keys, "__range")
+        ranged.groupBy("__g")
         .agg(*[F.sum(m).alias(f"__{m}") for m in measures])
-        .select(*keys, "__range",
+        .select("__g",
                 *[F.coalesce(F.sum(f"__{m}").over(below), F.lit(0)).alias(f"__{m}_start")
                   for m in measures])
     )
-    inside = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    joined = ranged.alias("a").join(
-        starts.alias("b"), all_equal("a", "b", [*keys, "__range"]))
-    return joined.select(
-        *[F.col(f"a.{c}").alias(c) for c in df.columns],
-        F.col("a.__range").alias("__range"),
-        *[F.col(f"b.__{m}_start").alias(f"__{m}_start") for m in measures],
-    ).select(
+    inside = Window.partitionBy("__g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(starts, "__g").select(
         *df.columns,
         *[(F.col(f"__{m}_start") + F.coalesce(F.sum(m).over(inside), F.lit(0)))
           .alias(f"{m}_before") for m in measures],
@@ -113,17 +111,19 @@ def hash_rank(
     by = [c for c, _ in order]
     hashed = df.withColumn("__h", hash_text(seed, *ids)).withColumn(
         "__b", F.substring("__h", 1, hex_digits))
-    sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
-    below = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-    below = below.orderBy(*sort, "__b").rowsBetween(Window.unboundedPreceding, -1)
-    group = [*part, *by, "__b"]
-    starts = hashed.groupBy(*group).agg(F.count("*").alias("__n")).select(
-        *group, F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*group).orderBy("__h", *ids)
+    # See prefix_sums for why the group is a struct.
+    fields = {f"k{i}": c for i, c in enumerate([*part, *by])}
+    group = F.struct(*[F.col(c).alias(k) for k, c in fields.items()], "__b")
+    hashed = hashed.withColumn("__g", group).drop("__b")
+    sort = [F.col(f"__g.k{len(part) + i}").asc() if up else F.col(f"__g.k{len(part) + i}").desc()
+            for i, (_, up) in enumerate(order)]
+    below = Window.partitionBy(*[F.col(f"__g.k{i}") for i in range(len(part))]).orderBy(
+        *sort, "__g.__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = hashed.groupBy("__g").agg(F.count("*").alias("__n")).select(
+        "__g", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__g").orderBy("__h", *ids)
     return (
-        hashed.alias("a")
-        .join(starts.alias("b"), all_equal("a", "b", group))
-        .select("a.*", "b.__start")
+        hashed.join(starts, "__g")
         .withColumn(name, F.col("__start") + F.row_number().over(inside))
-        .drop("__h", "__b", "__start")
+        .drop("__h", "__g", "__start")
     )

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldstone import constants as K
-from foldstone.operators.ranks import all_equal
 
 
 def _middle(ordered: Column) -> Column:
@@ -61,6 +60,4 @@ def trailing_windows(
             f"days_above_{n}d": F.coalesce(F.sum(high).over(frame), F.lit(0)),
         }
     windows = days.select(place, "day", *[m.alias(n) for n, m in measures.items()])
-    joined = records.alias("a").join(
-        windows.alias("b"), all_equal("a", "b", [place, "day"]), "left")
-    return joined.select(f"a.{key}", *[f"b.{n}" for n in measures])
+    return records.join(windows, [place, "day"], "left").select(key, *measures)
