@@ -167,6 +167,45 @@ def baseline_report(
     return metrics.score_metrics(scored), metrics.classification_report(scored), model
 
 
+def baseline_predictions(
+    train: DataFrame, test: DataFrame, enrichment: DataFrame,
+    text: Sequence[str] = ("zone", "gender"), iterations: int = 2000,
+) -> DataFrame:
+    """(id, label, score) of the logistic baseline refitted on all training rows."""
+    left = add_features(enrich(train, enrichment))
+    numbers = [c for c in feature_columns(left, exclude=KEYS)
+               if c not in ("latitude", "longitude")]
+    left = checkpoint(left.select("record_id", "target", *text, *numbers))
+    right = add_features(enrich(test, enrichment)).select("record_id", *text, *numbers)
+
+    def fill(df):
+        return impute.mode_impute(left, impute.median_impute(left, df, numbers), text).fillna(
+            0.0, subset=numbers)
+
+    model = models.fit_baseline(fill(left), text, numbers, iterations)
+    return to_predictions(models.score_baseline(model, fill(right)))
+
+
+def bag_seeds(
+    train: DataFrame, test: DataFrame, features: Sequence[str], weights: dict[str, float],
+    seeds: Sequence[int] = K.SEED_BAG, k: int = K.FOLDS, overrides: dict | None = None,
+) -> DataFrame:
+    """(record_id, kind, p): several seeds of folds and fits, averaged per family and blended.
+
+    ``weights`` gives the families and their share of the blend.
+    """
+    presets, parts = _presets(list(weights), overrides), []
+    bare = checkpoint(train.select("record_id", "target", *features))
+    for seed in seeds:
+        folded = checkpoint(folds.stratified_folds(bare, k=k, seed=seed))
+        parts.append(_cross_fit_all(folded, test, features, presets, k, seed))
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    mean = blend.fold_average(every, by=("kind", "model"))
+    wide = blend.to_wide(mean, list(weights), ["record_id", "kind"])
+    return blend.blend(wide, list(weights), list(weights.values())).select(
+        "record_id", "kind", "p")
+
+
 def run(
     train: DataFrame, test: DataFrame, enrichment: DataFrame, paths: str | Sequence[str],
     overrides: dict | None = None, k: int = K.FOLDS,

@@ -121,3 +121,7 @@ def test_baseline_report(spark):
     support = {r["label"]: r["support"] for r in report.collect()}
     fifth = folds.stratified_split(train.select("record_id", "target")).where("part = 'valid'")
     assert sum(support.values()) == fifth.count()
+    test = X.test(spark, DATA).drop("split")
+    predictions = workflow.baseline_predictions(train, test, side, iterations=10)
+    assert verify.verify_predictions(
+        predictions, sinks.prediction_template(test)).first()["shape_ok"]

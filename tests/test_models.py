@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldstone import constants as K
 from foldstone.operators import blend, folds, metrics
-from foldstone.plans import models, tuning
+from foldstone.plans import models, tuning, workflow
 from foldstone.plans.clusters import assign_clusters, fit_clusters
 from foldstone.plans.importance import feature_importance, permutation_importance, permuted
 
@@ -70,6 +70,15 @@ def test_stack(planted):
     assert labelled.count() == 700 and metrics.roc_auc(labelled).first()[0] > 0.9
 
 
+def test_bag_of_seeds(planted):
+    train, test = planted
+    out = workflow.bag_seeds(train, test.drop("target"), FEATURES,
+                             {"leafwise": 0.5, "forest": 0.5}, seeds=(1, 2), k=2, overrides=QUICK)
+    oof = out.where("kind = 'oof'").join(train.select("record_id", "target"), "record_id")
+    assert oof.count() == 700 and metrics.roc_auc(oof).first()[0] > 0.7
+    assert out.where("kind = 'test'").count() == 200
+
+
 def test_presets_carry_tuned_values():
     p = models.PRESETS["leafwise"]
     assert p.settings["trees"] == 341 and p.settings["depth"] == 3
