@@ -156,5 +156,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # a forest of stars has one edge for each node and no node that is also a root
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == total:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
         total = seen
