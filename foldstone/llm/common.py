@@ -60,12 +60,26 @@ def _inverse(x: int) -> int:
     return pow(x, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, np.uint64(base % (1 << 64)), dtype=np.uint64)
-    if n:
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(n, 1 << 16), np.uint64(base % (1 << 64)), dtype=np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
+
+
+def rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of all stretches of ``width`` bytes."""
+    n = len(data)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_SEEDS[data] * powers(_BASE, n), out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * powers(_inverse(_BASE), n - width + 1))
 
 
 def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +95,10 @@ def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0]:at[-1]], at - at[0]
 
 
+_SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _FOLD = np.arange(256, dtype=np.uint8)
+#: Bytes hashed at a time.
+_BLOCK = 1 << 21
 _FOLD[65:91] += 32
 
 
@@ -90,9 +107,30 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     A word is a run of bytes other than the six ASCII white spaces, so never crosses texts.
     """
-    n = len(data)
-    if n == 0:
+    hashes, starts, done = [], [], 0
+    while done < len(data):  # in blocks that end at a white space, so memory stays small
+        stop = min(len(data), done + _BLOCK)
+        while stop < len(data):
+            tail = data[stop - min(stop - done, 4096):stop]
+            white = np.flatnonzero((tail == 32) | ((tail >= 9) & (tail <= 13)))
+            if len(white):
+                stop -= len(tail) - 1 - white[-1]
+                break
+            stop = min(len(data), stop + 4096)
+        lo, hi = np.searchsorted(at, (done, stop), "right")
+        cuts = np.r_[done, at[lo:hi], stop] - done
+        h, s = _block_hashes(data[done:stop], cuts)
+        hashes.append(h)
+        starts.append(s + done)
+        done = stop
+    if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at)
+
+
+def _block_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of one block."""
+    n = len(data)
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -103,13 +141,11 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends_at = inside.copy()
     ends_at[:-1] &= ~inside[1:] | begins[1:]
     ends = np.flatnonzero(ends_at) + 1
-    seeds = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-    up = powers(_BASE, n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(seeds[_FOLD[data]] * up, out=sums[1:])
+    np.cumsum(_SEEDS[_FOLD[data]] * powers(_BASE, n), out=sums[1:])
     down = powers(_inverse(_BASE), n)
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, at)
+    return hashes, starts
 
 
 def batches(parts: Iterator[pa.RecordBatch], size: int = 8 << 20,
