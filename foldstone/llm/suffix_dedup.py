@@ -140,7 +140,6 @@ def repeated_starts(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarra
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     begins = np.cumsum(sizes + 1) - sizes - 1
     h = rolling(data, length)
-    valid = np.zeros(len(h), bool)
     step = np.zeros(len(h) + 1, np.int64)
     fit = sizes >= length
     np.add.at(step, begins[fit], 1)
@@ -149,8 +148,8 @@ def repeated_starts(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarra
     starts = np.flatnonzero(valid)
     by = np.argsort(h[starts], kind="stable")
     ordered = h[starts][by]
-    same = np.r_[False, ordered[1:] == ordered[:-1]]
-    starts = np.sort(starts[by[same | np.r_[same[1:], False]]])
+    same = np.r_[False, ordered[1:] == ordered[:-1]][:len(ordered)]
+    starts = np.sort(starts[by[same | np.r_[same[1:], False][:len(same)]]])
     marked = np.zeros(len(data) + 1, bool)
     if len(starts):
         order = two_stage_order(whole, starts, length)
@@ -275,13 +274,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # the text goes through one exchange, which both joins below read
     tagged = rows.join(of_text, "key").select("key", "id", "text", "runs")
-    twice = rows.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
     spans = (tagged.mapInArrow(ship, "anchor long, kind int, mark binary, key long, first int, "
                                "n int, bytes binary")
              .repartition(n, "anchor").sortWithinPartitions("anchor", "kind")
              .mapInArrow(solve, "key long, a int, b int")
              .groupBy("key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")))
-    _ = twice
     return rows.join(spans, "key", "left").select("id", "text", "spans")
 
 
