@@ -28,7 +28,7 @@ from .common import components, partitions, staged
 
 TABLES, HASHES, SEED = 6, 2, 11
 MIN_COSINE = 0.98
-CHUNK = 1024
+CHUNK = 512
 
 
 def _size(d: int) -> int:
