@@ -52,19 +52,22 @@ def counts_by_limit(
     With ``complement`` the counts of each group are those of all other groups together.
     """
     by = list(by)
-    limits = grid.agg(F.sort_array(F.collect_set("limit"))).scalar()
+    # Halving steps 2**k ... 2, 1 that reach every one of the limits.
+    found = grid.agg(F.sort_array(F.collect_set("limit")).alias("limits"))
+    top = F.floor(F.log2(F.size("limits") + F.lit(1.0))).cast("int")
+    halves = F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k)
+                         .cast("int"))
+    box = found.select(F.struct("limits", halves.alias("steps"))).scalar()
     known = scores.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(
         *by, F.col(y).cast("int").alias("y"), S.logit(F.col(p)).alias("l")
-    ).withColumn("limits", limits)
-    bits = 13  # grids have fewer than 2**13 points
-    steps = F.array(*[F.lit(2**i) for i in reversed(range(bits))])
+    ).withColumn("box", box)
 
     def search(low, step):
-        return F.when(F.get("limits", low + step - 1) <= F.col("l"), low + step).otherwise(low)
+        return F.when(F.get(F.col("box.limits"), low + step - 1) <= F.col("l"), low + step).otherwise(low)
 
     # At most (limits + 1) rows per group from here on, combined map-side.
     cells = (
-        known.select(*by, "y", F.aggregate(steps, F.lit(0), search).alias("slot"))
+        known.select(*by, "y", F.aggregate(F.col("box.steps"), F.lit(0), search).alias("slot"))
         .groupBy(*by, "slot")
         .agg(F.sum("y").alias("pos"), F.sum(F.lit(1) - F.col("y")).alias("neg"))
     )

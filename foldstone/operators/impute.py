@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldstone.operators.encode import category_codes
+from foldstone.operators.joins import lookup_join
 from foldstone.operators.quantiles import exact_quantiles
 
-MAX_WIDE_CATEGORIES = 1_000
-
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact median per column; columns without any value are absent."""
@@ -48,21 +49,35 @@ def mode_impute(fit: DataFrame, apply_to: DataFrame, columns: Sequence[str]) ->
 
 
 def categories(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of a column narrow enough for one column per value."""
-    found = df.where(F.col(column).isNotNull()).select(column).distinct().limit(
-        MAX_WIDE_CATEGORIES + 1).collect()
-    if len(found) > MAX_WIDE_CATEGORIES:
-        raise ValueError(f"{column} has too many values for wide flags; use the sparse encoder")
+    """Sorted distinct values of a column; each becomes a column, so they fit the driver."""
+    found = df.where(F.col(column).isNotNull()).select(column).distinct().collect()
     return sorted(r[0] for r in found)
 
 
 def one_hot(fit: DataFrame, apply_to: DataFrame, column: str) -> DataFrame:
-    """Add one 0/1 column per value seen in ``fit``; other values are 0 everywhere."""
+    """Add one 0/1 column per value seen in ``fit``; other values are 0 everywhere.
+
+    For columns of very many values ``one_hot_sparse`` keeps the schema narrow.
+    """
     return apply_to.withColumns({
         f"{column}_{i}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("int")
         for i, v in enumerate(categories(fit, column))})
 
 
+def one_hot_sparse(fit: DataFrame, apply_to: DataFrame, column: str) -> DataFrame:
+    """Add ``<column>_flags``: a sparse vector with a 1 at the place of the value among the sorted
+    values of ``fit``; other values and missing ones are all 0."""
+    codes = category_codes(fit, column, "__at").withColumnRenamed("value", column)
+    n = codes.count()
+    # the place after the last one stands for any other value and is dropped
+    coded = lookup_join(apply_to, codes, [column]).withColumn(
+        "__at", F.coalesce("__at", F.lit(n)).cast("double"))
+    places = fit.sparkSession.range(max(n, 1)).select(F.col("id").cast("double").alias("__at"))
+    flags = OneHotEncoder(inputCol="__at", outputCol=f"{column}_flags", dropLast=True,
+                          handleInvalid="keep")
+    return flags.fit(places).transform(coded).drop("__at")
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per column."""
     row = df.agg(*[f(F.col(c)).alias(f"{n}_{c}") for c in columns

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 
 
 def enrich(records: DataFrame, enrichment: DataFrame, key: str = "record_id") -> DataFrame:
@@ -26,35 +26,37 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1")
 
 
-def counted(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+def counted(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """The table, persisted, and whether it is small enough to broadcast.
 
-    Counting and later joining compute the table once.
+    Materialising it gives its true size in bytes; later joins read the stored rows.
     """
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    return table, table.count() <= max_rows
+    table.count()
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return table, int(str(size)) <= max_bytes
 
 
 def lookup_join(
     df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
-    small: bool | None = None,
+    small: bool | None = None, null_safe: bool = False,
 ) -> DataFrame:
-    """Join an aggregate to many rows, broadcasting it only when counted as small.
+    """Join an aggregate to many rows, broadcasting it only when measured as small.
+
+    With ``null_safe`` a missing key finds the row of the missing key.
 
     Pass ``small`` when the table is part of one that ``counted`` has measured.  Larger tables
     are joined as Spark sees fit: the lookup side is unique per key, so AQE can split hot keys.
     """
     if small is None:
         table, small = counted(table)
-    return df.join(F.broadcast(table) if small else table, list(on), how)
-
-
-def map_with_default(
-    df: DataFrame, table: DataFrame, on: Sequence[str], value: str, default
-) -> DataFrame:
-    """Look ``value`` up by key; keys not in the table get the default."""
-    joined = lookup_join(df, table, on)
-    return joined.withColumn(value, F.coalesce(F.col(value), default))
+    if null_safe:
+        # a struct is never NULL and equals another with NULL in the same places
+        table = table.select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(on)])
+                             .alias("__k"), *[c for c in table.columns if c not in on])
+        df = df.withColumn("__k", F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(on)]))
+        on = ["__k"]
+    return df.join(F.broadcast(table) if small else table, list(on), how).drop("__k")
 
 
 def key_matches(

@@ -17,6 +17,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldstone.functions import scalar as S
+
 CELL_ROWS = 128
 MAX_DEPTH = 16
 SAMPLE_PER_CELL = 8
@@ -41,14 +43,6 @@ def _fit_cells(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return axis, cut
 
 
-def _cell_of(x: np.ndarray, axis: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
-    node = np.ones(len(x), dtype=np.int64)
-    rows = np.arange(len(x))
-    for _ in range(depth):
-        node = 2 * node + (x[rows, axis[node]] > cut[node])
-    return node
-
-
 def nearest_join(
     queries: DataFrame, reference: DataFrame, dims: Sequence[str], query_id: str, reference_id: str
 ) -> DataFrame:
@@ -62,7 +56,7 @@ def nearest_join(
     dims = list(dims)
     at = [f"x{i}" for i in range(len(dims))]
     # "+ 0.0" turns -0.0 into 0.0 so that equal points are equal keys.
-    coords = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) + F.lit(0.0)).alias(a)
+    coords = [(F.coalesce(S.present(F.col(c).cast("double")), F.lit(0.0)) + F.lit(0.0)).alias(a)
               for c, a in zip(dims, at, strict=True)]
     points = reference.select(F.col(reference_id).alias("rid"), *coords).groupBy(*at).agg(
         F.min("rid").alias("rid"))
@@ -80,7 +74,11 @@ def nearest_join(
 
     @F.pandas_udf("long")
     def cell(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series(_cell_of(frame.to_numpy(dtype=float), axis, cut, depth))
+        x = frame.to_numpy(dtype=float)
+        node, rows = np.ones(len(x), dtype=np.int64), np.arange(len(x))
+        for _ in range(depth):
+            node = 2 * node + (x[rows, axis[node]] > cut[node])
+        return pd.Series(node)
 
     points = points.withColumn("cell", cell(F.struct(*at)))
     # One row per cell, at most 2**MAX_DEPTH.

@@ -68,7 +68,7 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
     quartiles = wide_quantiles(exact_quantiles(df, columns, list(QUARTILES), by), QUARTILES, by)
-    return lookup_join(basic, quartiles, keys)
+    return lookup_join(basic, quartiles, keys, null_safe=True)
 
 
 def missing_summary(df: DataFrame, top: int = 30) -> DataFrame:
@@ -150,8 +150,11 @@ def banded_rate(
 
 
 def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width counts between the column's own bounds: (by..., bin, rows), last bin closed."""
-    x = F.col(column).cast("double")
+    """Equal-width counts between the column's own bounds: (by..., bin, rows), last bin closed.
+
+    NaN is missing.
+    """
+    x = S.present(F.col(column).cast("double"))
     limits = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
     placed = df.where(x.isNotNull()).select(*by, x.alias("x"), limits.alias("lim"))
     width = (F.col("lim.hi") - F.col("lim.lo")) / F.lit(float(bins))
@@ -194,15 +197,17 @@ def mutual_information(
     Missing values form a bin of their own.
     """
     columns = list(columns)
-    limits = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns)
+    limits = df.agg(*[f(S.present(F.col(c).cast("double"))).alias(f"{n}{i}")
+                      for i, c in enumerate(columns)
                       for n, f in (("lo", F.min), ("hi", F.max))])
     box = limits.select(F.struct(*limits.columns)).scalar()
     boxed = df.where(F.col(target).isNotNull()).withColumn("__box", box)
 
     def code(i: int, c: str) -> Column:
         lo, hi = F.col(f"__box.lo{i}"), F.col(f"__box.hi{i}")
-        at = F.floor(F.try_divide((F.col(c).cast("double") - lo) * bins, hi - lo))
-        return (F.when(F.col(c).isNull(), F.lit(-1)).when(at.isNull(), F.lit(0))
+        x = S.present(F.col(c).cast("double"))
+        at = F.floor(F.try_divide((x - lo) * bins, hi - lo))
+        return (F.when(x.isNull(), F.lit(-1)).when(at.isNull(), F.lit(0))
                 .when(at < bins, at).otherwise(F.lit(bins - 1)))
 
     cells = F.array(*[F.struct(F.lit(c).alias("name"), code(i, c).cast("int").alias("bin"))

@@ -2,7 +2,7 @@
 
 The built-in exact percentile holds every distinct value of a column in one task.  Here a sketch
 first brackets each wanted rank; values below a bracket are only counted, values above it dropped,
-and the few inside are ranked exactly.
+and the few inside are ranked exactly.  A bracket that misses its rank is opened to all values.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from foldstone.operators.joins import counted, lookup_join
 from foldstone.operators.ranks import prefix_sums
 
 SKETCH_ACCURACY = 10_000
-SMALL_ROWS = 200_000
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -28,13 +27,14 @@ def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataF
 
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """(by..., name, prob, value): quantiles interpolated between the two nearest ranks.
 
-    Where no group has more than ``small_rows`` values the built-in exact percentile is used.
+    One way for all sizes: bracket, check that the bracket holds the ranks, open it if not, rank
+    inside.  A missing group key is a group.
     """
     by = list(by)
+    keys = [*by, "name"]
     long = melt(df, columns, by)
     margin = 2.0 / SKETCH_ACCURACY
     low = [max(p - margin, 0.0) for p in probs]
@@ -43,50 +43,53 @@ def exact_quantiles(
     def sketch(fractions):
         return F.percentile_approx("value", [float(f) for f in fractions], SKETCH_ACCURACY)
 
-    groups = long.groupBy(*by, "name").agg(
+    groups = long.groupBy(*keys).agg(
         F.count("*").alias("n"), sketch(low).alias("low"), sketch(high).alias("high"))
-
-    def bracket(end, i, open_end):
-        # The margin is a share of the rows: with few rows it is less than one rank, so keep all.
-        few = F.col("n") < 2 * SKETCH_ACCURACY
-        return F.when(few, F.lit(float(open_end))).otherwise(F.col(end)[i])
-
     spec = F.array(*[
         F.struct(
-            F.lit(float(p)).alias("prob"),
-            (F.lit(float("-inf")) if low[i] == 0 else bracket("low", i, "-inf")).alias("lo"),
-            (F.lit(float("inf")) if high[i] == 1 else bracket("high", i, "inf")).alias("hi"),
+            F.lit(i).alias("i"), F.lit(float(p)).alias("prob"),
+            (F.col("low")[i] if low[i] > 0 else F.lit(float("-inf"))).alias("lo"),
+            (F.col("high")[i] if high[i] < 1 else F.lit(float("inf"))).alias("hi"),
+            (F.lit(float(p)) * (F.col("n") - 1)).alias("place"),
         ) for i, p in enumerate(probs)])
-    # One row per (by, column), counted before it is broadcast.
-    marks, small = counted(groups.select(*by, "name", "n", spec.alias("spec")))
-    largest = marks.agg(F.max("n")).first()[0] or 0
-    if largest <= small_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return long.groupBy(*by, "name").agg(F.percentile("value", wanted).alias("v")).select(
-            *by, "name", F.inline(F.arrays_zip(wanted.alias("prob"), F.col("v").alias("value"))))
+    # One row per (by, column).
+    marks, small = counted(groups.select(*keys, spec.alias("spec")))
+    # How many values lie below each bracket and up to its end: one row per (by, column), combined
+    # map-side.
+    below = [F.count_if(F.col("value") < F.col("spec")[i]["lo"]) for i in range(len(probs))]
+    upto = [F.count_if(F.col("value") <= F.col("spec")[i]["hi"]) for i in range(len(probs))]
+    placed = lookup_join(long, marks, keys, "inner", small, null_safe=True)
+    found = placed.groupBy(*keys).agg(
+        F.first("spec").alias("spec"), F.array(*below).alias("below"), F.array(*upto).alias("upto"))
+
+    def checked(s):
+        first = F.get(F.col("below"), s["i"])
+        holds = (first <= F.floor(s["place"])) & (F.ceil(s["place"]) < F.get(F.col("upto"), s["i"]))
+        return F.struct(
+            s["prob"].alias("prob"), s["place"].alias("place"),
+            F.when(holds, s["lo"]).otherwise(F.lit(float("-inf"))).alias("lo"),
+            F.when(holds, s["hi"]).otherwise(F.lit(float("inf"))).alias("hi"),
+            F.when(holds, first).otherwise(F.lit(0)).alias("first"))
+
+    sure, small = counted(found.select(*keys, F.transform("spec", checked).alias("spec")))
     inside = (
-        lookup_join(long, marks.drop("n"), [*by, "name"], "inner", small)
-        .select(*by, "name", "value", F.inline("spec"))
-        .where("value <= hi")
-        .select(*by, "name", "prob", F.when(F.col("value") >= F.col("lo"), F.col("value"))
-                .alias("value"))
-        .groupBy(*by, "name", "prob", "value").agg(F.count("*").alias("rows"))
+        lookup_join(long, sure, keys, "inner", small, null_safe=True)
+        .select(*keys, "value", F.inline("spec"))
+        .where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
+        .groupBy(*keys, "prob", "place", "first", "value").agg(F.count("*").alias("rows"))
     )
-    ranked = prefix_sums(inside, [*by, "name", "prob"], "value", ["rows"])
-    sized = lookup_join(ranked, marks.drop("spec"), [*by, "name"], "inner", small)
-    place = F.col("prob") * (F.col("n") - 1)
+    ranked = prefix_sums(inside, [*keys, "prob", "place", "first"], "value", ["rows"])
+    before = F.col("first") + F.col("rows_before")
 
     def holds(rank):
-        return (F.col("rows_before") <= rank) & (rank < F.col("rows_before") + F.col("rows"))
+        return (before <= rank) & (rank < before + F.col("rows"))
 
-    picked = sized.withColumns({"lo_rank": F.floor(place), "hi_rank": F.ceil(place)}).groupBy(
-        *by, "name", "prob").agg(
-        F.max(F.when(holds(F.col("lo_rank")), F.col("value"))).alias("lo"),
-        F.max(F.when(holds(F.col("hi_rank")), F.col("value"))).alias("hi"),
-        F.first(place - F.floor(place)).alias("part"))
+    picked = ranked.groupBy(*keys, "prob").agg(
+        F.max(F.when(holds(F.floor("place")), F.col("value"))).alias("lo"),
+        F.max(F.when(holds(F.ceil("place")), F.col("value"))).alias("hi"),
+        F.first(F.col("place") - F.floor("place")).alias("part"))
     return picked.select(
-        *by, "name", "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
-        .alias("value"))
+        *keys, "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
 
 
 def wide_quantiles(quantiles: DataFrame, names: dict[float, str], by: Sequence[str]) -> DataFrame:

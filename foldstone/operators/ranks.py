@@ -115,12 +115,20 @@ def hash_rank(
     fields = {f"k{i}": c for i, c in enumerate([*part, *by])}
     group = F.struct(*[F.col(c).alias(k) for k, c in fields.items()], "__b")
     hashed = hashed.withColumn("__g", group).drop("__b")
-    sort = [F.col(f"__g.k{len(part) + i}").asc() if up else F.col(f"__g.k{len(part) + i}").desc()
-            for i, (_, up) in enumerate(order)]
-    below = Window.partitionBy(*[F.col(f"__g.k{i}") for i in range(len(part))]).orderBy(
-        *sort, "__g.__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = hashed.groupBy("__g").agg(F.count("*").alias("__n")).select(
-        "__g", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__start"))
+    value_sort = [
+        F.col(f"__v.k{len(part) + i}").asc() if up else F.col(f"__v.k{len(part) + i}").desc()
+        for i, (_, up) in enumerate(order)] or [F.lit(0)]
+    # Two levels: totals of the distinct order values, then of the hash ranges inside each value,
+    # so that only the former, which are few, are ever ordered together.
+    sizes = hashed.groupBy("__g").agg(F.count("*").alias("__n"))
+    value = F.struct(*[F.col(f"__g.k{i}") for i in range(len(fields))], F.lit(0).alias("z"))
+    earlier = Window.partitionBy(*[F.col(f"__v.k{i}") for i in range(len(part))]).orderBy(
+        *[s for s in value_sort]).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (sizes.groupBy(value.alias("__v")).agg(F.sum("__n").alias("__m"))
+              .select("__v", F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__first")))
+    within = Window.partitionBy("__v").orderBy("__g.__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("__v", value).join(firsts, "__v").select(
+        "__g", (F.col("__first") + F.coalesce(F.sum("__n").over(within), F.lit(0))).alias("__start"))
     inside = Window.partitionBy("__g").orderBy("__h", *ids)
     return (
         hashed.join(starts, "__g")

@@ -74,8 +74,9 @@ def perceptron(hidden: Sequence[int] = (64, 32), iterations: int = 300, width: i
 
 
 def logistic(strength: float = 0.0, iterations: int = 2000, seed: int = K.SEED) -> Estimator:
+    """``strength`` penalises the coefficients as given, not those of scaled features."""
     return LogisticRegression(labelCol="target", featuresCol="features", weightCol="weight",
-                              regParam=strength, maxIter=iterations)
+                              regParam=strength, standardization=False, maxIter=iterations)
 
 
 _L, _X, _O = K.LEAFWISE_TUNED, K.LEVELWISE_TUNED, K.ORDERED_TUNED
@@ -209,7 +210,7 @@ def stack(
 
 
 def baseline(
-    text: Sequence[str], numbers: Sequence[str], iterations: int = 2000
+    text: Sequence[str], numbers: Sequence[str], iterations: int = 2000, strength: float = 0.0
 ) -> Pipeline:
     """One-hot text and scaled numbers into a class-weighted logistic regression.
 
@@ -224,13 +225,16 @@ def baseline(
     scale = StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True)
     join = VectorAssembler(inputCols=[*[f"{c}_flags" for c in text], "scaled"],
                            outputCol="features")
-    return Pipeline(stages=[index, flags, gather, scale, join, logistic(iterations=iterations)])
+    return Pipeline(stages=[index, flags, gather, scale, join, logistic(strength, iterations)])
 
 
 def fit_baseline(
-    train: DataFrame, text: Sequence[str], numbers: Sequence[str], iterations: int = 2000
+    train: DataFrame, text: Sequence[str], numbers: Sequence[str], iterations: int = 2000,
+    strength: float = 1.0,
 ) -> PipelineModel:
-    return baseline(text, numbers, iterations).fit(add_class_weight(train))
+    """The inverse penalty ``strength`` C maps to regParam 1 / (C n) on n rows."""
+    n = max(train.count(), 1)
+    return baseline(text, numbers, iterations, 1.0 / (strength * n)).fit(add_class_weight(train))
 
 
 def score_baseline(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,25 +75,67 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
     raise FileNotFoundError(", ".join(paths))
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The data files that a path or glob names, those directly in it for a folder."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = pattern.getFileSystem(conf)
+    found = []
+    for status in fs.globStatus(pattern) or []:
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [s.getPath() for s in inner if not s.isDirectory()]
+    return sorted(p.toString() for p in found if p.getName()[0] not in "_.")
+
+
+def header_of(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names in a file's first line, read without a job; compressed files too."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        data = codec.createInputStream(stream) if codec else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(data, "UTF-8"))
+        line = reader.readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([line.lstrip("\ufeff")]))) if line else ()
+
+
+def by_header(spark: SparkSession, files: Sequence[str]) -> dict[tuple, list[str]]:
+    """Files grouped by their header, without those that have none."""
+    groups: dict[tuple, list[str]] = {}
+    for file in files:
+        if header := header_of(spark, file):
+            groups.setdefault(header, []).append(file)
+    return groups
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header, columns matched to the schema by header name.
 
-    Columns the file lacks are left out, as is a file column the schema does not know; NaN text in
-    number columns is missing.  Only the header line is read on the driver.
+    Columns no file has are left out, as are file columns the schema does not know; files may
+    have their columns in different orders, and one that a file lacks is missing there.  NaN text in
+    number columns is missing.  Only header lines are read on the driver.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    raw = spark.read.option("header", True).schema(T.StructType(
-        [T.StructField(c, T.StringType()) for c in header])).csv(path)
+    groups = by_header(spark, _files(spark, path))
+    if not groups:
+        raise FileNotFoundError(f"no CSV file with a header in {path}")
     known = {f.name: f.dataType for f in schema.fields}
-    typed = []
-    for c in header:
-        if c not in known:
-            continue
-        value = F.col(f"`{c}`").try_cast(known[c])
-        if isinstance(known[c], T.DoubleType):
-            value = present(value)
-        typed.append(value.alias(c))
-    return raw.select(*typed)
+    parts = []
+    for header, files in groups.items():
+        raw = spark.read.option("header", True).schema(T.StructType(
+            [T.StructField(c, T.StringType()) for c in header])).csv(files)
+        typed = []
+        for c in header:
+            if c not in known:
+                continue
+            value = F.col(f"`{c}`").try_cast(known[c])
+            if isinstance(known[c], T.DoubleType):
+                value = present(value)
+            typed.append(value.alias(c))
+        parts.append(raw.select(*typed))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def with_record_id(df: DataFrame, target: str = "is_climate_sensitive") -> DataFrame:
@@ -105,19 +149,9 @@ def read_prediction_sets(spark: SparkSession, patterns: Sequence[str]) -> DataFr
 
     Files are grouped by header on the driver (names only); each group is one scan.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    files = []
-    for pattern in patterns:
-        path = jvm.org.apache.hadoop.fs.Path(pattern)
-        found = path.getFileSystem(conf).globStatus(path) or []
-        files += [status.getPath().toString() for status in found]
-    by_header: dict[tuple, list[str]] = {}
-    for file in sorted(set(files)):
-        header = tuple(spark.read.option("header", True).csv(file).columns)
-        by_header.setdefault(header, []).append(file)
+    files = sorted({f for pattern in patterns for f in _files(spark, pattern)})
     out = spark.createDataFrame([], "source string, id string, label int, score double")
-    for header, group in by_header.items():
+    for header, group in by_header(spark, files).items():
         if "TargetF1" not in header:
             continue
         raw = spark.read.option("header", True).schema(T.StructType(

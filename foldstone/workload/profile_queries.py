@@ -118,7 +118,7 @@ def quantiles_by_rank(spark, sf):
     """The path for large groups: bracket by sketch, rank inside the bracket."""
     found = exact_quantiles(
         table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"],
-        [0.05, 0.5, 0.95], ["l_returnflag"], small_rows=0)
+        [0.05, 0.5, 0.95], ["l_returnflag"])
     return tidy(wide_quantiles(found, {0.05: "q05", 0.5: "q50", 0.95: "q95"}, ["l_returnflag"]))
 
 
