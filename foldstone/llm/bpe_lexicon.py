@@ -36,7 +36,8 @@ from .common import staged
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A word is frequent from so many occurrences on; the automaton gets at most so many words.
 MIN_COUNT, MAX_WORDS = 8, 1 << 16
-CACHE_WORDS = 200_000
+#: Words and pieces that a worker remembers.
+CACHE_WORDS = 500_000
 LONG_WORD = 48
 
 
@@ -67,6 +68,20 @@ class Vocabulary:
             self.merges.append((ids[a], ids[b], ids[a + b]))
 
 
+_SPACES = regex.compile(r"\s\s|^\s|\s$")
+
+
+def pieces(text: str) -> list[str]:
+    """The text cut before every space, if each lies alone between other characters.
+
+    No word of ``SPLIT`` crosses such a cut and none looks over it, so pieces may be cut into words
+    one by one; pieces come again more often than not.  Any other text is one piece.
+    """
+    if "\0" in text or _SPACES.search(text):
+        return [text]
+    return text.replace(" ", "\0 ").split("\0")
+
+
 class Merger:
     """Exact merges: always the pair of lowest rank, the leftmost first."""
 
@@ -208,12 +223,20 @@ class Coder:
         self.one = [bytes([b]) for b in range(256)]
         outer = self
 
-        class Cache(dict):
+        class Words(dict):
             def __missing__(self, word):
                 ids = self[word] = outer.word_ids(word.encode("utf-8", "surrogatepass"))
                 return ids
 
-        self.cache = Cache()
+        class Pieces(dict):
+            def __missing__(self, piece):
+                found = [outer.cache[w] for w in outer.words(piece)]
+                ids = found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
+                if len(piece) <= LONG_WORD:
+                    self[piece] = ids
+                return ids
+
+        self.cache, self.known = Words(), Pieces()
 
     def place(self, word: bytes) -> int:
         """The number of a word in the lexicon, -1 if it is not there."""
@@ -236,15 +259,16 @@ class Coder:
         return tuple(self.v["outs"][ends[n - 1] if n else 0:ends[n]])
 
     def encode(self, text: str) -> list[int]:
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) + len(self.known) > 2 * CACHE_WORDS:
             self.cache.clear()
-        get = self.cache.__getitem__
+            self.known.clear()
+        get = self.known.__getitem__
         if self.cut is None or not self.cut.search(text):
-            return list(chain.from_iterable(map(get, self.words(text))))
+            return list(chain.from_iterable(map(get, pieces(text))))
         out: list[int] = []
-        for i, piece in enumerate(self.cut.split(text)):
-            out.extend([self.special[piece]] if i % 2 else
-                       chain.from_iterable(map(get, self.words(piece))))
+        for i, part in enumerate(self.cut.split(text)):
+            out.extend([self.special[part]] if i % 2 else
+                       chain.from_iterable(map(get, pieces(part))))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -256,10 +280,15 @@ def count_words(docs: DataFrame, text_col: str = "text", special: tuple[str, ...
     """(word, n) over all texts; tasks add up what they read before it is shuffled."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = regex.compile(SPLIT).findall, Counter()
+        words, met = regex.compile(SPLIT).findall, Counter()
         cut = regex.compile("|".join(map(regex.escape, special))) if special else None
 
         def out():
+            seen: Counter = Counter()
+            for piece, n in met.items():
+                for word in words(piece):
+                    seen[word] += n
+            met.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
                 ["word", "n"])
@@ -267,12 +296,11 @@ def count_words(docs: DataFrame, text_col: str = "text", special: tuple[str, ...
         for batch in parts:
             for text in batch.column(0):
                 text = text.as_py() or ""
-                for piece in cut.split(text) if cut and cut.search(text) else (text,):
-                    seen.update(words(piece))
-                if len(seen) > flush:
+                for part in cut.split(text) if cut and cut.search(text) else (text,):
+                    met.update(pieces(part))
+                if len(met) > flush:
                     yield out()
-                    seen.clear()
-        if seen:
+        if met:
             yield out()
 
     return (docs.select(F.col(text_col).alias("text"))
