@@ -194,7 +194,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                .agg(F.collect_set(F.struct("first", "last", "anchor")).alias("runs")))
 
     def ship(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Places of runs, and each different run of a batch once with its number of places."""
+        """Each different run of a batch once with its number of places (kind 0), and its place (1).
+
+        A run with several places in the batch repeats for certain: the bytes of those places are
+        known here, are joined within each text and only pass through (kind 2).
+        """
         names = ["anchor", "kind", "mark", "key", "first", "n", "bytes"]
         for batch in batches(parts, 4 << 20):
             seen: dict[tuple[int, bytes], list] = {}
@@ -215,6 +219,30 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      pa.array([k[1] for k in seen], pa.binary()), pa.nulls(m, pa.int64()),
                      pa.nulls(m, pa.int32()), pa.array([v[0] for v in seen.values()], pa.int32()),
                      pa.array([v[1] for v in seen.values()], pa.binary())], names)
+                known: dict[int, list] = {}
+                for anchor, mark, key, first in places:
+                    times, piece = seen[anchor, mark]
+                    if times > 1:
+                        known.setdefault(key, []).append((first, first + len(piece)))
+                whole = []
+                for key, own in known.items():
+                    at = 0
+                    for a, b in sorted(set(own)):
+                        if at and a <= at:
+                            whole[-1][2] = at = max(at, b)
+                        else:
+                            whole.append([key, a, at := b])
+                if whole:
+                    key, first, end = zip(*whole)
+                    m = len(key)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key, pa.int64()), pa.array([2] * m, pa.int32()),
+                         pa.nulls(m, pa.binary()), pa.array(key, pa.int64()),
+                         pa.array(first, pa.int32()), pa.array(end, pa.int32()),
+                         pa.nulls(m, pa.binary())], names)
+                places = [p for p in places if seen[p[0], p[1]][0] == 1]
+                if not places:
+                    continue
                 anchor, mark, key, first = zip(*places)
                 m = len(anchor)
                 yield pa.RecordBatch.from_arrays(
@@ -228,6 +256,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pieces: dict[tuple[int, bytes], list] = {}
         places: list[tuple] = []
         ranges: dict[tuple[int, bytes], list] | None = None
+        passed: list[tuple] = []
         size, now = 0, None
 
         def settle() -> dict:
@@ -243,7 +272,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return out
 
         def emit(solved: dict):
-            rows = [(key, first + a, first + b) for anchor, mark, key, first in places
+            rows = passed + [(key, first + a, first + b) for anchor, mark, key, first in places
                     for a, b in solved[anchor, mark]]
             if rows:
                 key, a, b = zip(*rows)
@@ -255,10 +284,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = [batch.column(c).to_pylist() for c in
                     ("anchor", "kind", "mark", "key", "first", "n", "bytes")]
             for anchor, kind, mark, key, first, times, piece in zip(*cols):
+                if kind == 2:
+                    passed.append((key, first, times))
+                    continue
                 if anchor != now:
                     if ranges is not None or size > SORTED:
                         yield from emit(ranges if ranges is not None else settle())
-                        pieces, places, ranges, size = {}, [], None, 0
+                        pieces, places, passed, ranges, size = {}, [], [], None, 0
                     now = anchor
                 if kind == 0:
                     own = pieces.setdefault((anchor, mark), [0, piece])
@@ -269,7 +301,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     if len(places) > PLACES:  # a very common anchor: its places pass through
                         ranges = ranges if ranges is not None else settle()
                         yield from emit(ranges)
-                        places = []
+                        places, passed = [], []
         yield from emit(ranges if ranges is not None else settle())
 
     # the text goes through one exchange, which both joins below read
