@@ -21,7 +21,7 @@ import tempfile
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,14 @@ from .common import WORD, batches, mix, staged
 ORDER = 5
 START, END = "\x02", "\x03"
 #: Stored n-grams; beyond it those of least count are left to the back-off of shorter ones.
-MAX_NGRAMS = 4_000_000
+MAX_NGRAMS = 2_000_000
 #: A band reaches so many scaled median deviations below and above the median of the logarithm.
 BELOW, ABOVE = 6.0, 6.0
 #: Bands of languages with fewer documents than this are those of all languages together.
 LEAST_DOCS = 30
 BIN = 0.001
+#: Words taken at a time, and words whose scores a worker remembers.
+SLICE, CACHE_WORDS = 50_000, 400_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _WORDS = re.compile(WORD).findall
@@ -96,14 +98,15 @@ def _gram_hashes(codes: np.ndarray, at: np.ndarray, order: int, lang: str) -> li
 
 
 def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                order: int = ORDER, flush: int = 1_000_000) -> DataFrame:
+                order: int = ORDER, flush: int = 250_000) -> DataFrame:
     """(lang, gram, n): n-grams of the highest order in all words of all texts."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, words in seen.items():
+            for lang, words in ((lang, dict(some)) for lang, all_ in seen.items()
+                                for some in batched(all_.items(), SLICE)):
                 codes, at = _codes(list(words), order)
                 times = np.repeat(np.fromiter(words.values(), np.int64, len(words)),
                                   np.fromiter(map(len, words), np.int64, len(words)) + 1)
@@ -216,22 +219,22 @@ def store(model: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) ->
                 text = "".join(rows["gram"][i] for i in own)
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
                 keys[own] = _gram_hashes(codes, np.arange(k - 1, len(codes), k), k, lang)[-1]
-            number = lambda c: pa.array([math.nan if v is None else v for v in rows[c]], pa.float64())
+            number = lambda c: pa.array(
+                [math.nan if v is None else v for v in rows[c]], pa.float32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), number("logp"), number("logb"), number("rest")],
-                ["key", "logp", "logb", "rest"])
-
-    table = model.select("lang", "k", "gram", "logp", "logb", "rest").mapInArrow(
-        hashes, "key long, logp double, logb double, rest double").toPandas()
-    keys = table["key"].to_numpy(np.int64).view(np.uint64)
+                [pa.array(keys.view(np.int64)), number("logp"), number("logb")],
+                ["key", "logp", "logb"])
+
+    # the empty n-gram of a language carries what a letter never seen gets
+    logp = F.when(F.col("k") == 0, F.col("rest")).otherwise(F.col("logp")).alias("logp")
+    table = model.select("lang", "k", "gram", logp, "logb").mapInArrow(
+        hashes, "key long, logp float, logb float").toArrow()  # at most max_ngrams rows
+    keys = table.column("key").to_numpy().view(np.uint64)
     by = np.argsort(keys)
-    value = lambda c: np.ascontiguousarray(table[c].to_numpy(np.float64)[by])
-    logp, logb, rest = value("logp"), value("logb"), value("rest")
-    base = keys[by]
+    value = lambda c: table.column(c).to_numpy()[by].view(np.int32)
     name = f"ngrams-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="ngrams-"), name)
-    save(path, {"keys": base.view(np.int64), "logp": logp.view(np.int64),
-                "logb": logb.view(np.int64), "rest": rest.view(np.int64)})
+    save(path, {"keys": keys[by].view(np.int64), "logp": value("logp"), "logb": value("logb")})
     spark.sparkContext.addFile(path)
     return name
 
@@ -247,8 +250,7 @@ class Model:
     def __init__(self, path: str, order: int = ORDER):
         _, views, _ = mapped(path)
         self.keys = np.frombuffer(views["keys"], np.uint64)
-        self.logp, self.logb, self.rest = (
-            np.frombuffer(views[c], np.float64) for c in ("logp", "logb", "rest"))
+        self.logp, self.logb = (np.frombuffer(views[c], np.float32) for c in ("logp", "logb"))
         self.order = order
         self.caches: dict[str, dict[str, float]] = defaultdict(dict)
 
@@ -256,14 +258,14 @@ class Model:
         if len(self.keys) == 0:
             return np.full(len(keys), none)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        out = np.where(self.keys[at] == keys, values[at], np.nan)
+        out = np.where(self.keys[at] == keys, values[at].astype(np.float64), np.nan)
         return np.where(np.isnan(out), none, out)
 
     def grams(self, codes: np.ndarray, at: np.ndarray, lang: str) -> np.ndarray:
         """log p of the letters at the given places after the order - 1 letters before."""
         own = _gram_hashes(codes, at, self.order, lang)
         before = _gram_hashes(codes, at - 1, self.order - 1, lang)
-        rest = self.find(np.array([_rest_key(lang)]), self.rest, math.log(1e-6))[0]
+        rest = self.find(np.array([_rest_key(lang)]), self.logp, math.log(1e-6))[0]
         out = np.full(len(at), np.nan)
         weight = np.zeros(len(at))
         for k in range(self.order, 0, -1):
@@ -286,14 +288,14 @@ class Model:
 
     def perplexities(self, docs: list[list[str]], langs: list[str]) -> list[float | None]:
         """Perplexity of each letter of each document; None without words."""
+        if sum(map(len, self.caches.values())) > CACHE_WORDS:
+            self.caches.clear()
         for lang in set(langs):
             cache = self.caches[lang]
-            if len(cache) > 400_000:
-                cache.clear()
             fresh = set(chain.from_iterable(d for d, own in zip(docs, langs) if own == lang))
             fresh.difference_update(cache)
-            if fresh:
-                self.learn(list(fresh), lang)
+            for some in batched(fresh, SLICE):
+                self.learn(list(some), lang)
         return [math.exp(min(700.0, -math.fsum(map(self.caches[lang].__getitem__, d))
                              / (sum(map(len, d)) + len(d)))) if d else None
                 for d, lang in zip(docs, langs)]
@@ -310,7 +312,7 @@ def score(docs: DataFrame, model: str, text_col: str = "text", lang_col: str = "
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Model(SparkFiles.get(model), order)
-        for batch in batches(parts, 8 << 20, text_col):
+        for batch in batches(parts, 4 << 20, text_col):
             place = batch.schema.get_field_index
             texts = [t or "" for t in batch.column(place(text_col)).to_pylist()]
             words = [_WORDS(t) for t in texts]
