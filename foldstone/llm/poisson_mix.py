@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, staged
+
+#: Rates of all sources up to this size are sent to every task.
+BROADCAST_BYTES = 8 << 20
 
 
 def uniform(*parts: Column) -> Column:
@@ -76,7 +79,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     rate = rates(docs, weights, alpha, size, source).select(
         F.col("source").alias("_r_source"), F.struct("rate", "cdf").alias("_r"))
     text_mark = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    # one row per source: Spark broadcasts it when its measured size allows, else splits hot sources
+    # One row per source.  Measured, it is sent to all tasks and no row is shuffled for it; beyond
+    # that size it is an ordinary join, of which Spark can split the hot sources.
+    rate = staged(rate)
+    size_of = F.size("_r.cdf") * 8 + F.coalesce(F.length("_r_source"), F.lit(0)) * 4 + 64
+    if (rate.agg(F.sum(size_of.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES:
+        rate = F.broadcast(rate)
     joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(
         rate, F.col(f"`{source}`").eqNullSafe(F.col("_r_source")))
     u = uniform(F.lit(seed), F.col(id_col), text_mark)
