@@ -98,7 +98,7 @@ def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _FOLD = np.arange(256, dtype=np.uint8)
 #: Bytes hashed at a time.
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 _FOLD[65:91] += 32
 
 
