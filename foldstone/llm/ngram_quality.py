@@ -3,9 +3,11 @@
 The model is an interpolated modified Kneser-Ney model of the characters of words (with marks for
 a word's begin and end), one for each language.  Tasks count the n-grams of highest order of all
 texts; Spark adds them up and derives lower orders, discounts, probabilities and back-off weights
-with joins and groupings.  The model is kept as sorted arrays of 64-bit hashes, memory-mapped on
-the executors and searched by bisection.  A document is rejected when its perplexity leaves the band of its language, which is set
-around the median of all documents that pass the plain rules.
+with joins and groupings.  The whole model stays a table in the shared folder.  Its most frequent
+n-grams of highest order are also sorted arrays of 64-bit hashes, memory-mapped on the executors and
+searched by bisection; n-grams of documents that are not among them are joined to the table, so the
+size of the arrays changes no result.  A document is rejected when its perplexity leaves the band of
+its language, which is set around the median of all documents that pass the plain rules.
 
 Nulls: a null text has no words and fails the plain rules, a null language is a language of its own.
 Columns of the input with the names of results are replaced.
@@ -28,15 +30,17 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .bpe_lexicon import mapped, save
 from .common import WORD, batches, mix, staged
 
 ORDER = 5
 START, END = "\x02", "\x03"
-#: Stored n-grams; beyond it those of least count are left to the back-off of shorter ones.
+#: N-grams shipped to executors; those of least count beyond it are joined to the model's table.
 MAX_NGRAMS = 2_000_000
+#: Columns between scoring and joining: row, sum of known logarithms, letters, n-grams still open.
+_ROW, _LOG, _LETTERS, _OPEN = (f"_llm_{c}" for c in ("row", "log", "letters", "open"))
 #: A band reaches so many scaled median deviations below and above the median of the logarithm.
 BELOW, ABOVE = 6.0, 6.0
 #: Bands of languages with fewer documents than this are those of all languages together.
@@ -192,140 +196,166 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def store(model: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) -> str:
-    """Write the model's sorted hash arrays to a file of the session; its name there."""
+    """Write sorted hash arrays of the most frequent n-grams to a file of the session; its name there."""
     spark = model.sparkSession
-    model = staged(model)
+    top = model.filter(F.col("k") == order)
     size = F.floor(F.log2(F.col("n") + 1.0) * 16).cast("int")
     least, room = 0, max_ngrams
-    for r in model.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+    for r in top.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
         room -= r["count"]
         if room < 0:
             least = r["size"] + 1
             break
-    # single letters, their contexts and the rest of every language are always kept
-    model = model.filter((size >= least) | (F.col("k") <= 1))
 
     def hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            rows = batch.to_pydict()
             keys = np.zeros(batch.num_rows, np.uint64)
             groups = defaultdict(list)
-            for i, (lang, k) in enumerate(zip(rows["lang"], rows["k"])):
-                groups[lang, k].append(i)
-            for (lang, k), own in groups.items():
-                if k == 0:
-                    keys[own] = _rest_key(lang)
-                    continue
-                text = "".join(rows["gram"][i] for i in own)
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                groups[lang].append(i)
+            grams = batch.column(1).to_pylist()
+            for lang, own in groups.items():
+                text = "".join([grams[i] for i in own])
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                keys[own] = _gram_hashes(codes, np.arange(k - 1, len(codes), k), k, lang)[-1]
-            number = lambda c: pa.array(
-                [math.nan if v is None else v for v in rows[c]], pa.float32())
+                keys[own] = _gram_hashes(codes, np.arange(order - 1, len(codes), order), order, lang)[-1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), number("logp"), number("logb")],
-                ["key", "logp", "logb"])
+                [pa.array(keys.view(np.int64)), batch.column(2)], ["key", "logp"])
 
-    # the empty n-gram of a language carries what a letter never seen gets
-    logp = F.when(F.col("k") == 0, F.col("rest")).otherwise(F.col("logp")).alias("logp")
-    table = model.select("lang", "k", "gram", logp, "logb").mapInArrow(
-        hashes, "key long, logp float, logb float").toArrow()  # at most max_ngrams rows
+    table = top.filter(size >= least).select("lang", "gram", F.col("logp").cast("float")).mapInArrow(
+        hashes, "key long, logp float").toArrow()  # at most max_ngrams rows
     keys = table.column("key").to_numpy().view(np.uint64)
     by = np.argsort(keys)
-    value = lambda c: table.column(c).to_numpy()[by].view(np.int32)
     name = f"ngrams-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="ngrams-"), name)
-    save(path, {"keys": keys[by].view(np.int64), "logp": value("logp"), "logb": value("logb")})
+    save(path, {"keys": keys[by].view(np.int64),
+                "logp": table.column("logp").to_numpy()[by].view(np.int32)})
     spark.sparkContext.addFile(path)
     return name
 
 
-def _rest_key(lang: str) -> np.uint64:
-    codes = np.zeros(1, np.uint32)
-    return _gram_hashes(codes, np.zeros(1, np.int64), 1, "rest of " + lang)[0][0]
-
-
 class Model:
-    """Scores of words under a stored model."""
+    """Scores of words under the n-grams of a stored file; the others are left open."""
 
     def __init__(self, path: str, order: int = ORDER):
         _, views, _ = mapped(path)
         self.keys = np.frombuffer(views["keys"], np.uint64)
-        self.logp, self.logb = (np.frombuffer(views[c], np.float32) for c in ("logp", "logb"))
+        self.logp = np.frombuffer(views["logp"], np.float32)
         self.order = order
         self.caches: dict[str, dict[str, float]] = defaultdict(dict)
+        self.open: dict[str, dict[str, list[str]]] = defaultdict(dict)
 
-    def find(self, keys: np.ndarray, values: np.ndarray, none: float) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """log p of n-grams of the highest order; NaN if the file does not hold them."""
         if len(self.keys) == 0:
-            return np.full(len(keys), none)
+            return np.full(len(keys), np.nan)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        out = np.where(self.keys[at] == keys, values[at].astype(np.float64), np.nan)
-        return np.where(np.isnan(out), none, out)
-
-    def grams(self, codes: np.ndarray, at: np.ndarray, lang: str) -> np.ndarray:
-        """log p of the letters at the given places after the order - 1 letters before."""
-        own = _gram_hashes(codes, at, self.order, lang)
-        before = _gram_hashes(codes, at - 1, self.order - 1, lang)
-        rest = self.find(np.array([_rest_key(lang)]), self.logp, math.log(1e-6))[0]
-        out = np.full(len(at), np.nan)
-        weight = np.zeros(len(at))
-        for k in range(self.order, 0, -1):
-            open_ = np.isnan(out)
-            p = self.find(own[k - 1], self.logp, np.nan)
-            out = np.where(open_ & ~np.isnan(p), weight + p, out)
-            if k > 1:
-                weight += np.where(np.isnan(out), self.find(before[k - 2], self.logb, 0.0), 0.0)
-        return np.where(np.isnan(out), weight + rest, out)
+        return np.where(self.keys[at] == keys, self.logp[at].astype(np.float64), np.nan)
 
     def learn(self, words: list[str], lang: str) -> None:
-        """Put the scores of words into the language's cache."""
+        """Put the scores of words into the language's cache, and their n-grams left open."""
         codes, at = _codes(words, self.order)
         keys = _gram_hashes(codes, at, self.order, lang)[-1]
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        logs = self.grams(codes, at[first], lang)[inverse]
+        unique, inverse = np.unique(keys, return_inverse=True)
+        logs = self.find(unique)[inverse]
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        sums = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
-        self.caches[lang].update(zip(words, sums.tolist()))
-
-    def perplexities(self, docs: list[list[str]], langs: list[str]) -> list[float | None]:
-        """Perplexity of each letter of each document; None without words."""
+        starts = np.cumsum(sizes) - sizes
+        absent = np.flatnonzero(np.isnan(logs))
+        whose = np.searchsorted(starts, absent, "right") - 1
+        for a, j in zip(at[absent].tolist(), whose.tolist()):
+            gram = "".join(map(chr, codes[a - self.order + 1:a + 1].tolist()))
+            self.open[lang].setdefault(words[j], []).append(gram)
+        logs[absent] = 0.0
+        self.caches[lang].update(zip(words, np.add.reduceat(logs, starts).tolist()))
+
+    def sums(self, docs: list[list[str]], langs: list[str]) -> list[tuple[float, int, Counter]]:
+        """Of each document: known logarithms added up, letters, and its n-grams left open."""
         if sum(map(len, self.caches.values())) > CACHE_WORDS:
             self.caches.clear()
+            self.open.clear()
         for lang in set(langs):
             cache = self.caches[lang]
             fresh = set(chain.from_iterable(d for d, own in zip(docs, langs) if own == lang))
             fresh.difference_update(cache)
             for some in batched(fresh, SLICE):
                 self.learn(list(some), lang)
-        return [math.exp(min(700.0, -math.fsum(map(self.caches[lang].__getitem__, d))
-                             / (sum(map(len, d)) + len(d)))) if d else None
-                for d, lang in zip(docs, langs)]
-
-
-def score(docs: DataFrame, model: str, text_col: str = "text", lang_col: str = "lang",
-          order: int = ORDER, keep_text: bool = True) -> DataFrame:
+        out = []
+        for d, lang in zip(docs, langs):
+            left, open_ = Counter(), self.open[lang]
+            if open_:
+                for w in d:
+                    if w in open_:
+                        left.update(open_[w])
+            out.append((math.fsum(map(self.caches[lang].__getitem__, d)), sum(map(len, d)) + len(d),
+                        left))
+        return out
+
+
+def score(docs: DataFrame, stored: str, model: DataFrame, text_col: str = "text",
+          lang_col: str = "lang", order: int = ORDER, keep_text: bool = True) -> DataFrame:
     """``docs`` with the counts and ``perplexity`` (null without words)."""
     names = (*COUNTS, "perplexity")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     schema = StructType(kept + [StructField(c, LongType()) for c in COUNTS]
-                        + [StructField("perplexity", DoubleType())])
+                        + [StructField(_LOG, DoubleType()), StructField(_LETTERS, LongType()),
+                           StructField(_OPEN, ArrayType(StructType.fromDDL("gram string, n long")))])
+    kind = pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Model(SparkFiles.get(model), order)
+        scorer = Model(SparkFiles.get(stored), order)
         for batch in batches(parts, 4 << 20, text_col):
             place = batch.schema.get_field_index
             texts = [t or "" for t in batch.column(place(text_col)).to_pylist()]
             words = [_WORDS(t) for t in texts]
             langs = [str(x) if x is not None else "" for x in batch.column(place(lang_col)).to_pylist()]
             counts = np.array([base_counts(t, w) for t, w in zip(texts, words)], np.int64)
-            ppl = scorer.perplexities(words, langs)
+            logs, letters, left = zip(*scorer.sums(words, langs))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(place(f.name)) for f in kept]
                 + [pa.array(np.ascontiguousarray(c)) for c in counts.T]
-                + [pa.array(ppl, pa.float64())],
-                [*[f.name for f in kept], *COUNTS, "perplexity"])
-
-    return docs.mapInArrow(run, schema)
+                + [pa.array(logs, pa.float64()), pa.array(letters, pa.int64()),
+                   pa.array([[{"gram": g, "n": n} for g, n in x.items()] for x in left], kind)],
+                [*[f.name for f in kept], *COUNTS, _LOG, _LETTERS, _OPEN])
+
+    scored = staged(docs.mapInArrow(run, schema).withColumn(_ROW, F.monotonically_increasing_id()))
+    log = F.col(_LOG)
+    if scored.filter(F.size(_OPEN) > 0).limit(1).count():
+        lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang")
+        left = scored.select(_ROW, lang, F.inline(_OPEN))
+        more = staged(left.join(open_grams(left, model, order), ["lang", "gram"]).groupBy(_ROW)
+                      .agg(F.sum(F.col("n") * F.col("logp")).alias("_llm_more")))
+        scored = scored.join(more, _ROW, "left")
+        log = log + F.coalesce(F.col("_llm_more"), F.lit(0.0))
+    ppl = F.when(F.col(_LETTERS) > 0, F.exp(F.least(F.lit(700.0), -log / F.col(_LETTERS))))
+    return scored.select(*[F.col(f"`{f.name}`") for f in kept], *COUNTS, ppl.alias("perplexity"))
+
+
+def open_grams(left: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, logp) of the n-grams of highest order in ``left``, from the model's whole table.
+
+    N-grams that were never counted get those of shorter ones and the weights of their contexts.
+    """
+    top = model.filter(F.col("k") == order).select("lang", "gram", F.col("logp").cast("float"))
+    found = staged(left.select("lang", "gram").distinct().join(top, ["lang", "gram"], "left"))
+    end = lambda k, back: F.substring("gram", order - k + 1 - back, k)
+    parts = [F.struct(F.lit(k).alias("k"), F.lit(back).alias("back"), end(k, back).alias("part"))
+             for k in range(1, order) for back in (0, 1)]
+    parts.append(F.struct(F.lit(0).alias("k"), F.lit(0).alias("back"), F.lit("").alias("part")))
+    rows = model.select("lang", "k", F.col("gram").alias("part"), "logp", "logb", "rest")
+    value = lambda c, k, back: F.max(F.when(
+        (F.col("k") == k) & (F.col("back") == back), F.col(c)))
+    shorter = (found.filter("logp is null").select("lang", "gram", F.inline(F.array(*parts)))
+               .join(rows, ["lang", "k", "part"], "left").groupBy("lang", "gram")
+               .agg(*[value("logp", k, 0).alias(f"p{k}") for k in range(1, order)],
+                    *[value("logb", k, 1).alias(f"b{k}") for k in range(1, order)],
+                    value("rest", 0, 0).alias("rest")))
+    weight, ways = F.lit(0.0), []
+    for k in range(order - 1, 0, -1):
+        weight = weight + F.coalesce(F.col(f"b{k}"), F.lit(0.0))
+        ways.append(weight + F.col(f"p{k}"))
+    ways.append(weight + F.coalesce(F.col("rest"), F.lit(math.log(1e-6))))
+    return found.filter("logp is not null").select("lang", "gram", F.col("logp").cast("double")).union(
+        shorter.select("lang", "gram", F.coalesce(*ways).alias("logp")))
 
 
 def base_failed() -> Column:
@@ -367,11 +397,13 @@ def bands(scored: DataFrame, lang_col: str = "lang", below: float = BELOW,
 
 
 def assess(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-           keep_text: bool = True, below: float = BELOW, above: float = ABOVE) -> DataFrame:
+           keep_text: bool = True, below: float = BELOW, above: float = ABOVE,
+           max_ngrams: int = MAX_NGRAMS) -> DataFrame:
     """``docs`` with counts, ``perplexity``, ``base_failed`` and ``kept``."""
-    model = store(kneser_ney(count_grams(docs, text_col, lang_col, order), order), order)
+    model = staged(kneser_ney(count_grams(docs, text_col, lang_col, order), order))
+    stored = store(model, order, max_ngrams)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("base_failed", "kept")])
-    scored = staged(score(docs, model, text_col, lang_col, order, keep_text))
+    scored = score(docs, stored, model, text_col, lang_col, order, keep_text)
     limits = bands(scored, lang_col, below, above).select(
         F.col("lang").alias("_lang"), F.col("low").alias("_low"), F.col("high").alias("_high"))
     inside = F.log("perplexity").between(F.col("_low"), F.col("_high"))
