@@ -20,6 +20,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 import zstandard as zstd
@@ -41,7 +42,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _HINT = re.compile(r"[:=]")
 
 _URL = re.compile(r"%[0-9A-Fa-f]{2}")
-_UNSPACED = re.compile(r"[!-~]*")
+_URLS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# Every character that a base pattern, encoded data or an escape can hold: none of them crosses the end
+# of such a run, nor does one in what the run decodes to.
+_RUN = re.compile(r"""[A-Za-z0-9+/_.=:"'\x20%&#;\\{}\r\n-]+""")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}"
                      r"|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[a-z]{2,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -135,100 +139,68 @@ def _from_base64(word: str) -> bytes | None:
         return None
 
 
-def _url_layer(layer: Layer, a: int, b: int) -> Layer | None:
-    """A stretch with its escapes replaced; characters keep their places."""
+def _rewritten(layer: Layer, a: int, b: int, pattern: re.Pattern, new) -> Layer:
+    """A stretch with what matches replaced by the (text, starts, ends) of ``new``."""
     text, out, starts, ends, i = layer.text, [], [], [], a
-    while i < b:
-        if text[i] != "%":
-            out.append(text[i])
-            starts.append(layer.starts[i])
-            ends.append(layer.ends[i])
-            i += 1
-            continue
-        j = i
-        while j < b and text[j] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", text[j + 1:j + 3]):
-            j += 3
-        if j == i:
-            out.append("%")
-            starts.append(layer.starts[i])
-            ends.append(layer.ends[i])
-            i += 1
-            continue
-        raw = bytes(int(text[k + 1:k + 3], 16) for k in range(i, j, 3))
-        at = i
-        for c in raw.decode("utf-8", "surrogateescape"):
-            width = 1 if "\udc80" <= c <= "\udcff" else len(c.encode("utf-8"))
-            starts.append(layer.starts[at])
-            ends.append(layer.ends[at + 3 * width - 1])
-            out.append("�" if "\udc80" <= c <= "\udcff" else c)
-            at += 3 * width
-        i = j
+    for m in pattern.finditer(text, a, b):
+        own, first, last = new(layer, m)
+        out += text[i:m.start()], own
+        for into, before, fresh in ((starts, layer.starts, first), (ends, layer.ends, last)):
+            into.extend(before[i:m.start()])
+            into.extend(fresh)
+        i = m.end()
+    out.append(text[i:b])
+    starts.extend(layer.starts[i:b])
+    ends.extend(layer.ends[i:b])
     return Layer("".join(out), starts, ends)
 
 
-def _escape_layer(layer: Layer) -> Layer:
-    """The whole layer with its Unicode and HTML escapes replaced."""
-    text, out, starts, ends, i = layer.text, [], [], [], 0
-    for m in _ESCAPE.finditer(text):
-        for k in range(i, m.start()):
-            out.append(text[k])
-            starts.append(layer.starts[k])
-            ends.append(layer.ends[k])
-        i, word = m.end(), m[0]
-        try:
-            new = html.unescape(word) if word[0] == "&" else chr(int(word[2:].strip("{}"), 16))
-        except (ValueError, OverflowError):
-            new = word
-        if "\ud800" <= new[:1] <= "\udfff":
-            new = "�"
-        for c in new:
-            out.append(c)
-            starts.append(layer.starts[m.start()])
-            ends.append(layer.ends[m.end() - 1])
-    for k in range(i, len(text)):
-        out.append(text[k])
-        starts.append(layer.starts[k])
-        ends.append(layer.ends[k])
-    return Layer("".join(out), starts, ends)
+def _from_url(layer: Layer, m: re.Match) -> tuple[str, list[int], list[int]]:
+    """The letters of adjacent URL escapes; each comes from its own escapes."""
+    out, starts, ends, at = [], [], [], m.start()
+    for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+        broken = "\udc80" <= c <= "\udcff"
+        width = 1 if broken else len(c.encode("utf-8"))
+        out.append("\ufffd" if broken else c)
+        starts.append(layer.starts[at])
+        ends.append(layer.ends[at + 3 * width - 1])
+        at += 3 * width
+    return "".join(out), starts, ends
 
 
-def _url_stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of visible ASCII characters that hold a URL escape."""
-    end = 0
-    for m in _URL.finditer(text):
-        if m.start() < end:
-            continue
-        a = m.start()
-        while a > end and "!" <= text[a - 1] <= "~":
-            a -= 1
-        end = _UNSPACED.match(text, m.start()).end()
-        yield a, end
-
-
-def _clusters(text: str, pattern: re.Pattern, gap: int = 256) -> Iterator[tuple[int, int]]:
-    """Stretches of a text around matches that are near one another, ``gap`` characters wider."""
-    a = b = -1
-    for m in pattern.finditer(text):
-        if b < 0:
-            a, b = m.span()
-        elif m.start() - b > 2 * gap:
-            yield max(0, a - gap), min(len(text), b + gap)
-            a, b = m.span()
-        else:
-            b = m.end()
-    if b >= 0:
-        yield max(0, a - gap), min(len(text), b + gap)
+def _from_escape(layer: Layer, m: re.Match) -> tuple[str, list[int], list[int]]:
+    """The letters of one Unicode or HTML escape."""
+    word = m[0]
+    try:
+        new = html.unescape(word) if word[0] == "&" else chr(int(word[2:].strip("{}"), 16))
+    except (ValueError, OverflowError):
+        new = word
+    if "\ud800" <= new[:1] <= "\udfff":
+        new = "\ufffd"
+    return new, [layer.starts[m.start()]] * len(new), [layer.ends[m.end() - 1]] * len(new)
+
+
+def _runs_with(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """The whole runs of characters around matches; what is found in a run ends in it."""
+    m = pattern.search(text)
+    if m:
+        for run in _RUN.finditer(text):
+            if m.start() < run.end():
+                yield run.span()
+                m = pattern.search(text, run.end())
+                if not m:
+                    return
 
 
 def _inner(layer: Layer) -> Iterator[Layer | Span]:
     """The layers that a layer holds, and spans of kind packed."""
     text = layer.text
     if "%" in text:
-        for a, b in _url_stretches(text):
-            yield _url_layer(layer, a, b)
+        for a, b in _runs_with(text, _URL):
+            yield _rewritten(layer, a, b, _URLS, _from_url)
     if "\\" in text or "&" in text:
-        for a, b in _clusters(text, _ESCAPE):
-            yield _escape_layer(Layer(text[a:b], layer.starts[a:b], layer.ends[a:b]))
+        for a, b in _runs_with(text, _ESCAPE):
+            yield _rewritten(layer, a, b, _ESCAPE, _from_escape)
     for pattern, decoded in ((_BASE64, _from_base64), (_HEXDATA, bytes.fromhex)):
         for m in pattern.finditer(text):
             data = decoded(m[0])
@@ -264,6 +236,9 @@ class _Same:
     def __len__(self) -> int:
         return self.n
 
+    def __iter__(self) -> Iterator[int]:
+        return repeat(self.value, self.n)
+
     def __getitem__(self, i):
         return _Same(self.value, len(range(*i.indices(self.n)))) if isinstance(i, slice) \
             else self.value

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from foldstone.llm import ngram_quality
+from foldstone.llm import secret_scan as secrets
 
 from . import brute
 
@@ -24,3 +25,18 @@ def test_perplexities_do_not_depend_on_the_size_of_the_shipped_file(spark):
         for i, t, lang in rows:
             want = models[lang or ""].perplexity(t)
             assert got[i].perplexity == (pytest.approx(want, rel=1e-6) if want else None)
+
+
+@pytest.mark.parametrize("hidden", [
+    "token\\u003d" + "aB3" * 400,
+    "secret&quot;:&quot;" + "eyJh.bG_c" * 200,
+    "password%3A hunter22x",
+    'api%5Fkey = "abcdef123',
+    "password%20%3A%20&quot;" + "q7" * 300,
+    "&#116;oken" + " " * 700 + "= abcdef123",
+])
+def test_escaped_secrets_are_found_to_their_ends(hidden):
+    text = f"é, see ({hidden}), and 100% of a &amp; b"
+    base, inner = secrets.scan(text)
+    at = text.index(hidden)
+    assert base == [] and (at, at + len(hidden), "assign") in inner
