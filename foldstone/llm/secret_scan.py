@@ -19,7 +19,7 @@ import html
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import pyarrow as pa
@@ -45,12 +45,21 @@ _URL = re.compile(r"%[0-9A-Fa-f]{2}")
 _URLS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 # Every character that a base pattern, encoded data or an escape can hold: none of them crosses the end
 # of such a run, nor does one in what the run decodes to.
-_RUN = re.compile(r"""[A-Za-z0-9+/_.=:"'\x20%&#;\\{}\r\n-]+""")
+_RUN = re.compile(r"""[A-Za-z0-9+/_.=:"'\x20%&#;\\{}\t\r\n-]+""")
+# The shortest finding has 12 characters of a run; bytes without such a run hold none, encoded or not.
+_LEAST_RUN = re.compile(_RUN.pattern[:-1] + "{12,}")
+_WIDE = re.compile(rb"(?:[\t\n\r -~]\0){12,}")  # UTF-16 of either order
+_PACKED = re.compile(rb"\x1f\x8b|\x78|BZh|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}"
                      r"|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[a-z]{2,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_HEXDATA = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
-_PLAIN = re.compile(r"[\t\n\r -~\u00a0-\U0010ffff]*")
+_HEXDATA = re.compile(r"[0-9a-fA-F]{32,}")
+# Data wrapped into lines, also by escaped breaks; a match begins only where a run begins.
+_BREAK = r"(?:[\r\n]|\\[rn])++[ \t]*+"
+_BASE64_LINES = re.compile(
+    rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK}[A-Za-z0-9+/_-]++)++={{0,2}}")
+_HEX_LINES = re.compile(rf"(?<![0-9a-fA-F])[0-9a-fA-F]++(?:{_BREAK}[0-9a-fA-F]++)++")
+_BREAKS = re.compile(_BREAK)
 
 Span = tuple[int, int, str]  # start, end, kind
 
@@ -75,21 +84,8 @@ class Layer:
         return self.starts[a], self.ends[b - 1]
 
 
-def _plain_layer(data: bytes) -> str | None:
-    """The bytes as text if they are one: UTF-8 or UTF-16 without control characters."""
-    kinds = ("utf-8", "utf-16-le") if data[1:2] == b"\0" else ("utf-8",)
-    for kind in kinds:
-        try:
-            text = data.decode(kind)
-        except UnicodeDecodeError:
-            continue
-        if len(text) >= 6 and _PLAIN.fullmatch(text):
-            return text
-    return None
-
-
-def _inflate(data: bytes) -> bytes | None:
-    """Unpacked bytes; None if not packed; OverflowError if they are more than MAX_LAYER."""
+def _member(data: bytes, room: int) -> tuple[bytes, bytes] | None:
+    """What the first packed member of the bytes unpacks to, and the bytes after it."""
     if data[:2] == b"\x1f\x8b":
         make = lambda: zlib.decompressobj(31)
     elif data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
@@ -99,44 +95,98 @@ def _inflate(data: bytes) -> bytes | None:
     elif data[:6] == b"\xfd7zXZ\0":
         make = lzma.LZMADecompressor
     elif data[:4] == b"\x28\xb5\x2f\xfd":
+        out = bytearray()
         try:
-            with zstd.ZstdDecompressor().stream_reader(data) as stream:
-                out = stream.read(MAX_LAYER + 1)
+            with zstd.ZstdDecompressor().stream_reader(data, read_across_frames=True) as stream:
+                while len(out) < room and (more := stream.read(min(1 << 16, room - len(out)))):
+                    out += more
         except zstd.ZstdError:
-            return None
-        if len(out) > MAX_LAYER:
-            raise OverflowError
-        return out
+            if not out:
+                return None
+        return bytes(out), b""
     else:
         return None
     try:
-        out = make().decompress(data, MAX_LAYER + 1)
+        one = make()
+        out = one.decompress(data, room)
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         return None
-    if len(out) > MAX_LAYER:
-        raise OverflowError
-    return out
-
-
-def _open(data: bytes) -> str | None:
-    """The text in decoded bytes, through any number of packed layers."""
-    for _ in range(64):
-        unpacked = _inflate(data)
-        if unpacked is None:
-            return _plain_layer(data)
-        if unpacked == data:
+    return out, one.unused_data if one.eof else b""
+
+
+def _inflate(data: bytes) -> bytes | None:
+    """Unpacked bytes of all members; None if not packed; OverflowError if more than MAX_LAYER."""
+    out, rest = bytearray(), data
+    while rest and (member := _member(rest, MAX_LAYER + 1 - len(out))) is not None:
+        out += member[0]
+        if len(out) > MAX_LAYER:
+            raise OverflowError
+        rest = member[1]
+    return None if rest is data else bytes(out)
+
+
+def _open(data: bytes) -> bytes | None:
+    """The bytes in packed bytes, through any number of packed layers; None if not packed or a cycle."""
+    seen, unpacked = set(), _inflate(data)
+    if unpacked is None:
+        return None
+    while unpacked is not None:
+        mark = hashlib.blake2b(data, digest_size=16).digest()
+        if mark in seen:
             return None
-        data = unpacked
-    return _plain_layer(data)
+        seen.add(mark)
+        data, unpacked = unpacked, _inflate(unpacked)
+    return data
 
 
-def _from_base64(word: str) -> bytes | None:
-    body = word.rstrip("=").replace("-", "+").replace("_", "/")
+def _from_base64(body: str) -> bytes:
     body = body[:len(body) - (len(body) % 4 == 1)]
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except ValueError:
-        return None
+    return base64.b64decode(body + "=" * (-len(body) % 4), b"-_") if body else b""
+
+
+def _from_hex(body: str) -> bytes:
+    return bytes.fromhex(body[:len(body) - len(body) % 2])
+
+
+def _texts(data: bytes) -> Iterator[tuple[str, Sequence[int]]]:
+    """Texts in bytes, and the byte of each character.  One character a byte: patterns are ASCII,
+    and control characters or other bytes only separate."""
+    text = data.decode("latin-1")
+    if _LEAST_RUN.search(text):
+        yield text, range(len(data))
+    for m in _WIDE.finditer(data):
+        yield m[0][::2].decode("latin-1"), range(m.start(), m.end(), 2)
+
+
+def _from_data(layer: Layer, places: Sequence[int], word: str, unit: int, size: int,
+               decode) -> Iterator[Layer | Span]:
+    """Layers in data of ``unit`` characters for ``size`` bytes, begun at any character of a unit.
+
+    Packed data begins at one of the first characters or after one that may belong to a path or name.
+    """
+    body, last = word.rstrip("="), len(word) - 1
+    begins = [[] for _ in range(unit)]
+    for i in sorted({*range(unit), *(m.end() for m in re.finditer("[/_-]", body))}):
+        begins[i % unit].append(i)
+    for off in range(unit):
+        data = decode(body[off:])
+        for text, at in _texts(data):
+            units = [off + k // size * unit for k in at]
+            step = unit - 1
+            yield Layer(text, [layer.starts[places[u]] for u in units],
+                        [layer.ends[places[min(u + step, last)]] for u in units])
+        for i in begins[off]:
+            at = (i - off) // unit * size
+            if not _PACKED.match(data, at):
+                continue
+            a, b = layer.starts[places[i]], layer.ends[places[last]]
+            try:
+                new = _open(data[at:])
+            except OverflowError:
+                yield a, b, "packed"
+                continue
+            for text, _ in _texts(new or b""):
+                yield Layer(text, _Same(a, len(text)), _Same(b, len(text)))
 
 
 def _rewritten(layer: Layer, a: int, b: int, pattern: re.Pattern, new) -> Layer:
@@ -201,30 +251,18 @@ def _inner(layer: Layer) -> Iterator[Layer | Span]:
     if "\\" in text or "&" in text:
         for a, b in _runs_with(text, _ESCAPE):
             yield _rewritten(layer, a, b, _ESCAPE, _from_escape)
-    for pattern, decoded in ((_BASE64, _from_base64), (_HEXDATA, bytes.fromhex)):
+    for pattern, lines, *kind in ((_BASE64, _BASE64_LINES, 4, 3, _from_base64),
+                                  (_HEXDATA, _HEX_LINES, 2, 1, _from_hex)):
         for m in pattern.finditer(text):
-            data = decoded(m[0])
-            if not data:
-                continue
-            a, b = layer.origin(*m.span())
-            try:
-                new = _open(data)
-            except OverflowError:
-                yield a, b, "packed"
-                continue
-            if new is None:
-                continue
-            if len(data) == len(new) and pattern is _BASE64:  # plain text: three bytes of four
-                n, last = len(new), m.end() - 1
-                at = lambda i, m=m, last=last: min(m.start() + i, last)
-                yield Layer(new, [layer.starts[at(k // 3 * 4)] for k in range(n)],
-                            [layer.ends[at(k // 3 * 4 + 3)] for k in range(n)])
-            elif len(data) == len(new):
-                n = len(new)
-                yield Layer(new, [layer.starts[m.start() + 2 * k] for k in range(n)],
-                            [layer.ends[m.start() + 2 * k + 1] for k in range(n)])
-            else:
-                yield Layer(new, _Same(a, len(new)), _Same(b, len(new)))
+            yield from _from_data(layer, range(*m.span()), m[0], *kind)
+        for m in lines.finditer(text):
+            places, i = [], m.start()
+            for gap in _BREAKS.finditer(text, *m.span()):
+                places.extend(range(i, gap.start()))
+                i = gap.end()
+            places.extend(range(i, m.end()))
+            if len(places) >= 16:
+                yield from _from_data(layer, places, "".join([text[k] for k in places]), *kind)
 
 
 class _Same:

@@ -1,8 +1,14 @@
 """Whole results where earlier code cut them."""
 
+import base64
+import bz2
+import gzip
+import lzma
 import random
+import zlib
 
 import pytest
+import zstandard
 
 from foldstone.llm import ngram_quality
 from foldstone.llm import secret_scan as secrets
@@ -40,3 +46,33 @@ def test_escaped_secrets_are_found_to_their_ends(hidden):
     base, inner = secrets.scan(text)
     at = text.index(hidden)
     assert base == [] and (at, at + len(hidden), "assign") in inner
+
+
+NOISE = random.Random(4).randbytes(300).hex().encode() + b"\n"
+HIDDEN = b"password=abcdef123456"
+
+
+@pytest.mark.parametrize("text", [
+    base64.encodebytes(gzip.compress(NOISE + HIDDEN)).decode(),
+    base64.encodebytes(b"x" * 50 + b" " + HIDDEN + b" " + b"y" * 99).decode().replace("\n", "\r\n  "),
+    base64.encodebytes(gzip.compress(NOISE + HIDDEN)).decode().replace("\n", "\\n"),
+    gzip.compress(HIDDEN).hex("\n", 8),
+    "path/" + base64.b64encode(gzip.compress(HIDDEN)).decode(),
+    "id_" + base64.urlsafe_b64encode(HIDDEN).decode(),
+    "ab" + base64.b64encode(HIDDEN).decode(),
+    base64.b64encode(b"\x0c\x00\x1b\x7f\xff" + HIDDEN).decode(),
+    base64.b64encode("päss ".encode() + HIDDEN.decode().encode("utf-16-le")).decode(),
+    *(base64.b64encode(pack(b"nothing") + pack(HIDDEN)).decode() for pack in (
+        gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress)),
+])
+def test_encoded_data_is_read_in_every_way(text):
+    base, inner = secrets.scan(f"é: {text}, end")
+    assert [s for s in inner if s[2] == "assign"] and not [s for s in base if s[2] == "assign"]
+
+
+def test_packed_chains_have_no_fixed_depth():
+    data = HIDDEN
+    for _ in range(80):
+        data = zlib.compress(data)
+    text = base64.b64encode(data).decode()
+    assert (0, len(text), "assign") in secrets.scan(text)[1]
