@@ -43,7 +43,7 @@ MAX_NGRAMS = 2_000_000
 _ROW, _LOG, _LETTERS, _OPEN = (f"_llm_{c}" for c in ("row", "log", "letters", "open"))
 #: A band reaches so many scaled median deviations below and above the median of the logarithm.
 BELOW, ABOVE = 6.0, 6.0
-#: Bands of languages with fewer documents than this are those of all languages together.
+#: The deviation of all languages together counts as much in a language's own as so many documents.
 LEAST_DOCS = 30
 BIN = 0.001
 #: Words taken at a time, and words whose scores a worker remembers.
@@ -364,7 +364,11 @@ def base_failed() -> Column:
 
 def bands(scored: DataFrame, lang_col: str = "lang", below: float = BELOW,
           above: float = ABOVE) -> DataFrame:
-    """(lang, low, high) of log perplexity: median -+ deviations, from a histogram of all documents."""
+    """(lang, low, high) of log perplexity: median -+ deviations, from a histogram of all documents.
+
+    Each language has its own median; its deviation is shrunk towards that of all languages, each
+    around its own median, the less the more documents it has.
+    """
     spark = scored.sparkSession
     cell = F.round(F.log("perplexity") / BIN).cast("long")
     hist = (scored.filter(~base_failed()).groupBy(
@@ -382,17 +386,20 @@ def bands(scored: DataFrame, lang_col: str = "lang", below: float = BELOW,
                 return c
         return 0
 
-    def band(cells: Counter) -> tuple[float, float]:
-        m = middle(cells)
-        gaps = Counter()
+    centres = {lang: middle(cells) for lang, cells in by.items()}
+    gaps: dict[str, Counter] = defaultdict(Counter)
+    for lang, cells in by.items():
         for c, n in cells.items():
-            gaps[abs(c - m)] += n
-        spread = max(1.4826 * middle(gaps), 20.0)
-        return (m - below * spread) * BIN, (m + above * spread) * BIN
+            gaps[lang][abs(c - centres[lang])] += n
+    pooled = middle(sum(gaps.values(), Counter()))
+
+    def band(lang: str) -> tuple[str, float, float]:
+        n, m = sum(by[lang].values()), centres[lang]
+        deviation = (n * middle(gaps[lang]) + LEAST_DOCS * pooled) / (n + LEAST_DOCS)
+        spread = max(1.4826 * deviation, 20.0)
+        return lang, (m - below * spread) * BIN, (m + above * spread) * BIN
 
-    whole = sum(by.values(), Counter())
-    rows = [(lang, *band(cells if sum(cells.values()) >= LEAST_DOCS else whole))
-            for lang, cells in by.items()]
+    rows = [band(lang) for lang in by]
     return spark.createDataFrame(rows, "lang string, low double, high double")
 
 

@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import lzma
+import math
 import random
 import zlib
 
@@ -76,3 +77,14 @@ def test_packed_chains_have_no_fixed_depth():
         data = zlib.compress(data)
     text = base64.b64encode(data).decode()
     assert (0, len(text), "assign") in secrets.scan(text)[1]
+
+
+def test_bands_follow_one_rule_at_every_size(spark):
+    sizes = {"one": 1, "under": 28, "over": 30, "large": 400}
+    rows = [(lang, 2.0 * 2 ** k * (1 + 0.002 * (i % 20))) for k, (lang, n) in enumerate(sizes.items())
+            for i in range(n)]
+    scored = spark.createDataFrame([(*r, 90, 0) for r in [*rows, ("under", 30.0)]],
+                                   "lang string, perplexity double, n_words long, n_repeat_words long")
+    limits = {r.lang: (r.low, r.high) for r in ngram_quality.bands(scored).collect()}
+    inside = lambda lang, x: limits[lang][0] <= math.log(x) <= limits[lang][1]
+    assert all(inside(*r) for r in rows) and not inside("under", 30.0)
