@@ -16,6 +16,9 @@ from foldstone.operators.encode import category_codes
 from foldstone.operators.joins import lookup_join
 from foldstone.operators.quantiles import exact_quantiles
 
+#: The most columns that ``one_hot`` adds.
+MAX_FLAGS = 1_000
+
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact median per column; columns without any value are absent."""
@@ -48,16 +51,21 @@ def mode_impute(fit: DataFrame, apply_to: DataFrame, columns: Sequence[str]) ->
     return apply_to.fillna({c: v for c, v in found.items()}, subset=list(columns))
 
 
-def categories(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of a column; each becomes a column, so they fit the driver."""
-    found = df.where(F.col(column).isNotNull()).select(column).distinct().collect()
+def categories(df: DataFrame, column: str, most: int = MAX_FLAGS) -> list:
+    """Sorted distinct values of a column that is to become one column for each.
+
+    More than ``most`` values are refused: neither a schema nor the driver holds any number.
+    """
+    found = df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values: use one_hot_sparse")
     return sorted(r[0] for r in found)
 
 
 def one_hot(fit: DataFrame, apply_to: DataFrame, column: str) -> DataFrame:
     """Add one 0/1 column per value seen in ``fit``; other values are 0 everywhere.
 
-    For columns of very many values ``one_hot_sparse`` keeps the schema narrow.
+    Columns of more than ``MAX_FLAGS`` values are refused; ``one_hot_sparse`` takes any.
     """
     return apply_to.withColumns({
         f"{column}_{i}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldstone import constants as K
 from foldstone.functions import scalar as S
-from foldstone.operators import impute, joins, nearest, profile
+from foldstone.operators import impute, joins, nearest, neighbour_info, profile
 from foldstone.operators.quantiles import exact_quantiles, wide_quantiles
 from foldstone.sources.tables import table
 from foldstone.workload import fixtures as X
@@ -223,6 +223,47 @@ def mutual_information(spark, sf):
     return tidy(profile.mutual_information(df, NUMBERS))
 
 
+_SPREAD = tuple(dict.fromkeys(NUMBERS + NEIGHBOUR_DIMS))
+
+
+def _neighbours_sql(k: int = 3) -> str:
+    """Plain form: sorted rows with the k rows on either side, totals by as-of joins."""
+    filled = ", ".join(f"coalesce({c}, median({c}) over ()) as {c}" for c in _SPREAD)
+    psi = lambda n: (f"(ln({n} + 8e0) - 1 / (2 * ({n} + 8e0)) - 1 / (12 * ({n} + 8e0) ** 2)"
+                     f" + 1 / (120 * ({n} + 8e0) ** 4) - 1 / (252 * ({n} + 8e0) ** 6)"
+                     + "".join(f" - 1 / ({n} + {j}e0)" for j in range(8)) + ")")
+    reach = "least(" + ", ".join(
+        f"case when lag(x, {j}) over w is not null and lead(x, {k - j}) over w is not null then "
+        f"greatest(x - lag(x, {j}) over w, lead(x, {k - j}) over w - x) end"
+        for j in range(k + 1)) + ")"
+    return X.with_views(
+        f"""select l.name, cast(sum(1) as bigint) as rows, round(greatest(0e0, {psi('count(*)')}
+              + avg({psi('least(%d, ny - 1)' % k)}) - avg({psi('ny')})
+              - avg({psi('case when r = 0 then same else below - upto end')})), 6) as mi
+            from looked l group by l.name""", "enriched",
+        filled=f"select record_id, target, {filled} from enriched where split = 'train'",
+        long="select name, target as y, x + 0e0 as x from (" + " union all ".join(
+            f"select '{c}' as name, target, cast({c} as double) as x from filled" for c in _SPREAD)
+        + ") where target is not null",
+        near=f"""select name, y, x, count(*) over (partition by name, y) as ny, {reach} as r
+                 from long window w as (partition by name, y order by x)""",
+        cum="""select name, x, n, sum(n) over (partition by name order by x) as upto from (
+                 select name, x, count(*) as n from long group by name, x)""",
+        looked="""select p.name, p.ny, p.r, v.n as same, coalesce(b.upto, 0) as below,
+                    coalesce(a.upto, 0) as upto
+                  from near p join cum v on p.name = v.name and p.x = v.x
+                  asof left join cum a on p.name = a.name and p.x - p.r >= a.x
+                  asof left join cum b on p.name = b.name and p.x + p.r > b.x""")
+
+
+@query("neighbour_information", _neighbours_sql())
+def neighbour_information(spark, sf):
+    """Information with the label by distances to neighbours; missing values are medians."""
+    df = X.enriched(spark, sf).where("split = 'train'").select("record_id", "target", *_SPREAD)
+    return tidy(neighbour_info.neighbour_information(
+        impute.median_impute(df, df, _SPREAD), _SPREAD))
+
+
 _MEDIANS = ("age", "rain_sum_30d", "tavg_30d", "elevation", "slope")
 
 
