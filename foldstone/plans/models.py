@@ -43,6 +43,11 @@ class Preset:
     positive_weight: float = 1.0
     scaled: bool = False
 
+    def __repr__(self) -> str:
+        """The same text in every process, so that it can name stored results."""
+        return (f"{self.build.__name__}({sorted(self.settings.items())}, {self.positive_weight}, "
+                f"{self.scaled})")
+
     def with_settings(self, **changes) -> Preset:
         weight = changes.pop("positive_weight", self.positive_weight)
         return Preset(self.build, {**self.settings, **changes}, weight, self.scaled)
@@ -156,31 +161,39 @@ def cross_fit(
     training rows, adds the confident ones with their predicted labels and refits; the held-out
     fold never takes part.  Medians and scales come from the fold's training rows only.
     """
+    return reduce(lambda a, b: a.unionByName(b), [
+        fold_scores(train, test, features, model, f, preset, seed, pseudo_threshold, fold)
+        for f in range(k)])
+
+
+def fold_scores(
+    train: DataFrame, test: DataFrame | None, features: Sequence[str], model: str, f: int,
+    preset: Preset | None = None, seed: int = K.SEED, pseudo_threshold: float | None = None,
+    fold: str = "fold",
+) -> DataFrame:
+    """The part of ``cross_fit`` that leaves out one fold."""
     preset = preset or PRESETS[model]
     columns = ["record_id", *features]
     train = train.select(*columns, "target", fold)
-    parts = []
-    for f in range(k):
-        own = fold_complement(train, f, fold)
-        held = train.where(F.col(fold) == f)
-        prepare = preparation(own, features, preset.scaled)
-        filled = prepare(own).persist()
-        fitted = fit(filled, features, preset, seed)
-        unlabelled = None if test is None else prepare(test.select(*columns))
-        if pseudo_threshold is not None and unlabelled is not None:
-            scored = score(fitted, unlabelled, features).withColumn(
-                "target", F.lit(None).cast("int"))
-            more = augment(filled.drop(fold), scored, pseudo_threshold).drop("is_pseudo")
-            fitted = fit(more, features, preset, seed)
-        filled.unpersist()
-        wanted = [("oof", prepare(held))]
-        if unlabelled is not None:
-            wanted.append(("test", unlabelled))
-        for kind, rows in wanted:
-            parts.append(score(fitted, rows, features).select(
-                "record_id", F.lit(model).alias("model"), F.lit(seed).alias("seed"),
-                F.lit(f).alias(fold), F.lit(kind).alias("kind"), "p"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    own = fold_complement(train, f, fold)
+    held = train.where(F.col(fold) == f)
+    prepare = preparation(own, features, preset.scaled)
+    filled = prepare(own).persist()
+    fitted = fit(filled, features, preset, seed)
+    unlabelled = None if test is None else prepare(test.select(*columns))
+    if pseudo_threshold is not None and unlabelled is not None:
+        scored = score(fitted, unlabelled, features).withColumn(
+            "target", F.lit(None).cast("int"))
+        more = augment(filled.drop(fold), scored, pseudo_threshold).drop("is_pseudo")
+        fitted = fit(more, features, preset, seed)
+    filled.unpersist()
+    wanted = [("oof", prepare(held))]
+    if unlabelled is not None:
+        wanted.append(("test", unlabelled))
+    return reduce(lambda a, b: a.unionByName(b), [
+        score(fitted, rows, features).select(
+            "record_id", F.lit(model).alias("model"), F.lit(seed).alias("seed"),
+            F.lit(f).alias(fold), F.lit(kind).alias("kind"), "p") for kind, rows in wanted])
 
 
 def stack(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections.abc import Sequence
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from foldstone import constants as K
 from foldstone.operators.folds import stratified_folds
 from foldstone.operators.metrics import score_metrics
-from foldstone.plans.models import PRESETS, cross_fit
+from foldstone.plans.grid import WORKERS, Grid, fingerprint
+from foldstone.plans.models import PRESETS, cross_fit, fold_scores
 from foldstone.session import checkpoint
 
 WHOLE = ("trees", "depth", "leaf_rows")
@@ -63,6 +65,70 @@ def tune(
         rows, "model string, trial int, score double, params map<string,double>")
 
 
+def rungs(cells: int, first: int) -> list[int]:
+    """How many of its cells a setting has been fitted on at each rung: doubling, then all."""
+    sizes = [min(max(first, 1), cells)]
+    while sizes[-1] < cells:
+        sizes.append(min(sizes[-1] * 2, cells))
+    return sizes
+
+
+def tune_in_rungs(
+    df: DataFrame, features: Sequence[str], families: Sequence[str], trials: int = K.TUNING_TRIALS,
+    seeds: Sequence[int] = K.TUNING_SEEDS, k: int = K.FOLDS, points: dict | None = None,
+    keep: float = 0.5, folder: str | None = None, workers: int = WORKERS,
+) -> DataFrame:
+    """(model, trial, rung, cells, finished, score, params): search with early elimination.
+
+    A setting's work is a list of cells, each fold of each seed, seeds in turn.  Every rung fits
+    the settings that are left on twice as many cells as the one before, scores the rows held out
+    so far and goes on with the best ``keep`` of them; the last rung has seen every cell, so
+    settings that reach it (``finished``) carry the same score as a full search gives them.
+    Cells of a rung are fitted concurrently and stored: pass ``folder`` to resume.
+    """
+    df = df.select("record_id", "target", *features)
+    spark = df.sparkSession
+    grid = Grid(spark, folder, ("tune", fingerprint(df), k, *features), workers)
+    grid.run({f"folds/seed={s}": (lambda s=s: stratified_folds(df, k=k, seed=s)) for s in seeds})
+    order = [(s, f) for f in range(k) for s in seeds]
+    out = []
+    for family in families:
+        drawn = (points or {}).get(family) or draw(family, trials_for(family, trials))
+        # a cell belongs to its setting, so a longer search takes up what a shorter one fitted
+        names = [hashlib.md5(repr(sorted(p.items())).encode()).hexdigest() for p in drawn]
+
+        def cell(i: int, seed: int, fold: int):
+            def make() -> DataFrame:
+                folded = grid.read([f"folds/seed={seed}"])
+                preset = PRESETS[family].with_settings(**drawn[i])
+                held = fold_scores(folded, None, features, family, fold, preset, seed)
+                return held.join(folded.select("record_id", "target"), "record_id").select(
+                    "record_id", "target", "seed", "p")
+            return make
+
+        def key(i: int, seed: int, fold: int) -> str:
+            return f"{family}/{names[i]}/seed={seed}/fold={fold}"
+
+        left, seen, sizes = list(range(len(drawn))), {}, rungs(len(order), len(seeds))
+        for r, size in enumerate(sizes):
+            grid.run({key(i, *c): cell(i, *c) for i in left for c in order[:size]})
+            held = None
+            for i in left:
+                part = grid.read([key(i, *c) for c in order[:size]]).withColumn("trial", F.lit(i))
+                held = part if held is None else held.unionByName(part)
+            scores = score_metrics(held, by=["trial", "seed"]).groupBy("trial").agg(
+                F.avg("score").alias("score")).collect()  # one row per setting that is left
+            seen.update({s["trial"]: (r, size, s["score"]) for s in scores})
+            if size < len(order):
+                ranked = sorted(left, key=lambda i: (-(seen[i][2] or 0.0), i))
+                left = sorted(ranked[:max(1, math.ceil(len(left) * keep))])
+        out += [(family, i, seen[i][0], seen[i][1], seen[i][1] == len(order), seen[i][2], drawn[i])
+                for i in range(len(drawn)) if i in seen]
+    return spark.createDataFrame(
+        out, "model string, trial int, rung int, cells int, finished boolean, score double, "
+             "params map<string,double>")
+
+
 def best_trials(trials: DataFrame) -> DataFrame:
     """(model, score, params) of the best trial per family, the earliest on a tie."""
     return trials.groupBy("model").agg(F.min_by(

@@ -15,6 +15,7 @@ from foldstone.operators import blend, calibrate, encode, folds, impute, metrics
 from foldstone.operators.joins import enrich
 from foldstone.plans import models
 from foldstone.plans.clusters import assign_clusters, fit_clusters
+from foldstone.plans.grid import WORKERS, Grid, fingerprint
 from foldstone.session import checkpoint
 from foldstone.sources.sinks import better, to_predictions, write_predictions
 
@@ -189,18 +190,27 @@ def baseline_predictions(
 def bag_seeds(
     train: DataFrame, test: DataFrame, features: Sequence[str], weights: dict[str, float],
     seeds: Sequence[int] = K.SEED_BAG, k: int = K.FOLDS, overrides: dict | None = None,
+    folder: str | None = None, workers: int = WORKERS,
 ) -> DataFrame:
     """(record_id, kind, p): several seeds of folds and fits, averaged per family and blended.
 
-    ``weights`` gives the families and their share of the blend.
+    ``weights`` gives the families and their share of the blend.  Every fit of a (seed, fold,
+    family) is a cell of a grid, stored under its key; pass ``folder`` so that a bag that was
+    interrupted goes on with the fits that are missing.
     """
-    presets, parts = _presets(list(weights), overrides), []
-    bare = checkpoint(train.select("record_id", "target", *features))
-    for seed in seeds:
-        folded = checkpoint(folds.stratified_folds(bare, k=k, seed=seed))
-        parts.append(_cross_fit_all(folded, test, features, presets, k, seed))
-    every = reduce(lambda a, b: a.unionByName(b), parts)
-    mean = blend.fold_average(every, by=("kind", "model"))
+    presets = _presets(list(weights), overrides)
+    bare = train.select("record_id", "target", *features)
+    test = test.select("record_id", *features)
+    grid = Grid(train.sparkSession, folder, (
+        "bag", fingerprint(bare), fingerprint(test), k, presets, *features), workers)
+    grid.run({f"folds/seed={s}": (lambda s=s: folds.stratified_folds(bare, k=k, seed=s))
+              for s in seeds})
+    cells = {
+        f"{name}/seed={s}/fold={f}": (lambda name=name, s=s, f=f: models.fold_scores(
+            grid.read([f"folds/seed={s}"]), test, features, name, f, presets[name], s))
+        for s in seeds for f in range(k) for name in presets}
+    grid.run(cells)
+    mean = blend.fold_average(grid.read(cells), by=("kind", "model"))
     wide = blend.to_wide(mean, list(weights), ["record_id", "kind"])
     return blend.blend(wide, list(weights), list(weights.values())).select(
         "record_id", "kind", "p")
