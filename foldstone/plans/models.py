@@ -32,6 +32,7 @@ from foldstone import constants as K
 from foldstone.operators.impute import add_class_weight, apply_moments, medians, moments
 from foldstone.operators.pseudo import augment, fold_complement
 from foldstone.operators.ranks import hash_text
+from foldstone.plans.extra_trees import ExtraTrees
 
 
 @dataclass(frozen=True)
@@ -63,12 +64,16 @@ def boosted(trees: int, step: float, depth: int, rows: float = 1.0, features: fl
     return gbt.setValidationIndicatorCol("is_inner_valid") if early_stop else gbt
 
 
-def forest(trees: int, depth: int, bootstrap: bool = True, seed: int = K.SEED) -> Estimator:
-    """Random forest; ``bootstrap=False`` stands in for extremely randomised trees, whose random
-    split points Spark does not offer."""
+def forest(trees: int, depth: int, seed: int = K.SEED) -> Estimator:
+    """Random forest."""
     return RandomForestClassifier(
         labelCol="target", featuresCol="features", weightCol="weight", numTrees=int(trees),
-        maxDepth=int(depth), bootstrap=bootstrap, seed=seed)
+        maxDepth=int(depth), seed=seed)
+
+
+def extra_trees(trees: int = 400, depth: int = 14, seed: int = K.SEED) -> ExtraTrees:
+    """Trees of random cut points over all rows, none of them searched for."""
+    return ExtraTrees(trees, depth, seed=seed)
 
 
 def perceptron(hidden: Sequence[int] = (64, 32), iterations: int = 300, width: int = 0,
@@ -100,7 +105,7 @@ PRESETS: dict[str, Preset] = {
         trees=_O["iterations"], step=_O["learning_rate"], depth=_O["depth"]),
         _O["scale_pos_weight"]),
     "forest": Preset(forest, dict(trees=300, depth=12)),
-    "extra_trees": Preset(forest, dict(trees=400, depth=14, bootstrap=False)),
+    "extra_trees": Preset(extra_trees, dict(trees=400, depth=14)),
     "perceptron": Preset(perceptron, dict(hidden=(64, 32), iterations=300), scaled=True),
     "logistic": Preset(logistic),
 }
