@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_lexicon import Vocabulary
+from .bpe_lexicon import SPLIT, Vocabulary
 from .common import batches, staged
 
 #: Pairs sent to all tasks, those of the highest counts: 13 bytes each.
@@ -66,22 +66,41 @@ class Side:
         return self.data[np.arange(total) + np.repeat(self.begin[ids] - (ends - sizes), sizes)]
 
 
+def byte_level_encoder(path: str, vocab: Vocabulary):
+    """A function from texts to the ids of a byte-level BPE file.
+
+    Where ids are numbered in the order of merges, as they are in files of plain training, the
+    merge of lowest rank is the one whose result has the lowest id, and the faster library that
+    works on such ranks gives the same ids; any other file goes through its own library.
+    """
+    if [i for *_, i in vocab.merges] == list(range(256, 256 + len(vocab.merges))):
+        import tiktoken
+
+        fast = tiktoken.Encoding(
+            "ranks", pat_str=SPLIT, special_tokens={},
+            mergeable_ranks={t: i for i, t in enumerate(vocab.bytes_of) if i < 256 + len(vocab.merges)})
+        return lambda texts: [fast.encode_ordinary(t) for t in texts]
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    own.no_padding()
+    own.no_truncation()
+    # one text a call: a tokenizer that fans out over threads takes cores that Spark gave to others
+    return lambda texts: [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @lru_cache(maxsize=2)
 def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
     """Both tokenizers; a worker loads them once."""
     import sentencepiece
-    from tokenizers import Tokenizer
 
-    a = Tokenizer.from_file(a_path)
-    a.encode_special_tokens = True
-    a.no_padding()
-    a.no_truncation()
+    vocab = Vocabulary(a_path)
+    a = byte_level_encoder(a_path, vocab)
     b = sentencepiece.SentencePieceProcessor(model_file=b_path)
     pieces = [piece_bytes(b.id_to_piece(i)) for i in range(b.get_piece_size())]
-    # one text a call: a tokenizer that fans out over threads takes cores that Spark gave to others
-    return (Side(lambda texts: [a.encode(" " + t, add_special_tokens=False).ids for t in texts],
-                 Vocabulary(a_path).bytes_of),
-            Side(lambda texts: [b.encode(t) for t in texts], pieces))
+    return (Side(lambda texts: a([" " + t for t in texts]), vocab.bytes_of),
+            Side(lambda texts: b.encode(texts, num_threads=1), pieces))
 
 
 def coalesce(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,16 +153,15 @@ def _tally(docs: np.ndarray, pairs: np.ndarray, times: np.ndarray):
     return docs[at], pairs[at], np.add.reduceat(times, at) if len(at) else times
 
 
-def _links(a_ids: np.ndarray, a_group: np.ndarray, b_ids: np.ndarray, b_group: np.ndarray,
+def _links(a_ids: np.ndarray, a_at: np.ndarray, b_ids: np.ndarray, b_at: np.ndarray,
            doc_of: np.ndarray):
     """(document, pair, times) of all links, and the number of links of each group.
 
-    Ids lie in order of their group; ``doc_of`` is each group's document.  Links are expanded in
-    slices of groups; a group larger than a slice is first added up by id on both sides.
+    Ids lie in order of their group and begin at ``a_at`` and ``b_at``; ``doc_of`` is each group's
+    document.  Links are expanded in slices of groups; a group larger than a slice is first added
+    up by id on both sides.
     """
     n = len(doc_of)
-    groups = np.arange(n + 1)
-    a_at, b_at = np.searchsorted(a_group, groups), np.searchsorted(b_group, groups)
     na, nb = np.diff(a_at), np.diff(b_at)
     links = na * nb
     done = [np.zeros(0, np.int64)] * 3
@@ -170,18 +188,33 @@ def _links(a_ids: np.ndarray, a_group: np.ndarray, b_ids: np.ndarray, b_group: n
     return done, links
 
 
-def _digests(a_ids, a_group, b_ids, b_group, group_at) -> list[str]:
-    """Of each document: groups as `a,a|b;a|b,b`, hashed; empty where there are none."""
-    a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    n = int(group_at[-1])
-    a_at = np.searchsorted(a_group, np.arange(n + 1)).tolist()
-    b_at = np.searchsorted(b_group, np.arange(n + 1)).tolist()
-    out = []
-    for lo, hi in zip(group_at[:-1].tolist(), group_at[1:].tolist()):
-        text = ";".join([",".join(a_text[a_at[g]:a_at[g + 1]]) + "|"
-                         + ",".join(b_text[b_at[g]:b_at[g + 1]]) for g in range(lo, hi)])
-        out.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-    return out
+@lru_cache(maxsize=1)
+def _digits(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return byte_table([str(i).encode() + b"," for i in range(n)])
+
+
+def _digests(a_ids, a_at, b_ids, b_at, group_at) -> list[str]:
+    """Of each document: groups as `a,a|b;a|b,b`, hashed; empty where there are none.
+
+    ``a_at`` and ``b_at`` are where each group's ids begin.  Ids of both sides are dealt to their
+    places in the text and written as digits and the mark that follows.
+    """
+    n, groups = len(a_ids) + len(b_ids), int(group_at[-1])
+    if not n:
+        return [""] * (len(group_at) - 1)
+    ids = np.empty(n, np.int64)
+    ids[np.arange(len(a_ids)) + np.repeat(b_at[:-1], np.diff(a_at))] = a_ids
+    ids[np.arange(len(b_ids)) + np.repeat(a_at[1:], np.diff(b_at))] = b_ids
+    data, begin, size = _digits(1 << max(1, int(ids.max()).bit_length()))
+    sizes = size[ids]
+    ends = np.cumsum(sizes)
+    text = data[np.arange(int(ends[-1])) + np.repeat(begin[ids] - (ends - sizes), sizes)]
+    text[ends[a_at[1:] + b_at[:-1] - 1] - 1] = ord("|")
+    stops = ends[a_at[1:] + b_at[1:] - 1]
+    text[stops - 1] = ord(";")
+    stops = np.r_[0, stops][np.minimum(group_at, groups)]
+    return [hashlib.sha256(text[lo:hi - 1]).hexdigest() if hi > lo else ""
+            for lo, hi in zip(stops[:-1].tolist(), stops[1:].tolist())]
 
 
 def align_batch(texts: list[str | None], a: Side, b: Side) -> dict[str, np.ndarray | list]:
@@ -207,10 +240,12 @@ def align_batch(texts: list[str | None], a: Side, b: Side) -> dict[str, np.ndarr
     group_doc = np.zeros(n_all, np.int64)
     group_doc[a_group] = np.repeat(np.arange(len(texts)), n_a)
     group_at = np.searchsorted(group_doc, np.arange(len(texts) + 1))
-    (docs, pairs, times), links = _links(a_ids, a_group, b_ids, b_group, group_doc)
+    begins = np.arange(n_all + 1)
+    a_from, b_from = np.searchsorted(a_group, begins), np.searchsorted(b_group, begins)
+    (docs, pairs, times), links = _links(a_ids, a_from, b_ids, b_from, group_doc)
     return {"n_a": n_a, "n_b": n_b, "n_groups": np.diff(group_at),
             "n_links": np.diff(np.r_[0, np.cumsum(links)][group_at]),
-            "groups_sha256": _digests(a_ids, a_group, b_ids, b_group, group_at),
+            "groups_sha256": _digests(a_ids, a_from, b_ids, b_from, group_at),
             "at": np.searchsorted(docs, np.arange(len(texts) + 1)), "pairs": pairs, "times": times}
 
 
