@@ -30,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import staged
+from .common import kept, staged
 
 #: Fixed value: how byte-level BPE cuts a text into words before merging.
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A word is frequent from so many occurrences on; the automaton gets at most so many words.
-MIN_COUNT, MAX_WORDS = 8, 1 << 16
+MIN_COUNT, MAX_WORDS = 8, 1 << 19
 #: Words and pieces that a worker remembers.
-CACHE_WORDS = 500_000
-LONG_WORD = 48
+CACHE_WORDS, CACHE_LETTERS = 400_000, 8 << 20
+LONG_WORD, MATRIX_WORD = 48, 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -88,6 +88,7 @@ class Merger:
     def __init__(self, byte_ids: list[int], merges: list[tuple[int, int, int]]):
         self.byte_ids = byte_ids
         self.pairs = {a << 32 | b: rank << 32 | new for rank, (a, b, new) in enumerate(merges)}
+        self.table = None
 
     def __call__(self, word: bytes) -> tuple[int, ...]:
         ids = [self.byte_ids[b] for b in word]
@@ -108,6 +109,50 @@ class Merger:
                 found[i] = get(ids[i] << 32 | ids[i + 1], none)
         return tuple(ids)
 
+    def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another and how many each has, a merge of every word at once."""
+        if self.table is None:
+            keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
+            order = np.argsort(keys)
+            self.table = keys[order], np.fromiter(self.pairs.values(), np.int64, len(keys))[order]
+        letters = np.array(self.byte_ids, np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        parts: list = [None] * len(words)
+        order = np.argsort(sizes, kind="stable")
+        short = order[:int(np.searchsorted(sizes[order], MATRIX_WORD, "right"))]
+        for i in order[len(short):].tolist():
+            parts[i] = np.array(self(words[i]), np.int64)
+        for lo in range(0, len(short), 1 << 13):  # words of like length, so little is padding
+            some = short[lo:lo + (1 << 13)]
+            wide = int(sizes[some].max(initial=0))
+            data = np.frombuffer(b"".join(words[i].ljust(wide, b"\0") for i in some.tolist()), np.uint8)
+            ids = letters[data.reshape(len(some), wide)] if wide else np.zeros((len(some), 0), np.int64)
+            ids[np.arange(wide) >= sizes[some][:, None]] = -1
+            self._rounds(ids)
+            for i, row, n in zip(some.tolist(), ids, (ids >= 0).sum(1).tolist()):
+                parts[i] = row[:n]
+        return (np.concatenate([*parts, np.zeros(0, np.int64)]),
+                np.fromiter(map(len, parts), np.int64, len(parts)))
+
+    def _rounds(self, ids: np.ndarray) -> None:
+        """Merge the rows of a matrix, -1 after their ends, until none has a pair to merge."""
+        keys, found = self.table
+        at, wide = np.arange(len(ids)), ids.shape[1]
+        none = np.int64(1) << 62
+        while len(at) and wide > 1 and len(keys):
+            now = ids[at]
+            pair = now[:, :-1] << 32 | np.maximum(now[:, 1:], 0)
+            place = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+            rank = np.where((keys[place] == pair) & (now[:, 1:] >= 0), found[place], none)
+            best = rank.argmin(1)  # the leftmost of the lowest
+            low = rank[np.arange(len(at)), best]
+            going = low < none
+            at, now, best, low = at[going], now[going], best[going], low[going]
+            now[np.arange(len(at)), best] = low & 0xFFFFFFFF
+            source = np.arange(wide) + (np.arange(wide) > best[:, None])
+            now = np.take_along_axis(np.c_[now, np.full(len(now), -1)], source, 1)
+            ids[at] = now
+
     def by_heap(self, ids: list[int]) -> tuple[int, ...]:
         """The same in n log n steps, for words of any length."""
         n, get = len(ids), self.pairs.get
@@ -206,73 +251,192 @@ def mapped(path: str) -> tuple[mmap.mmap, dict[str, memoryview], dict[str, int]]
                        k: 8 + n + at for k, (_, at, _) in head.items()}
 
 
+_OTHER = chr(0x250)
+
+
+def words_of(text: str, cut=regex.compile(SPLIT).findall) -> list[str]:
+    """The words of a text; the same as cutting it with the pattern."""
+    if "\0" in text or _SPACES.search(text):
+        return cut(text)
+    out = []
+    for piece in text.replace(" ", "\0 ").split("\0"):
+        out += (piece,) if one_word(piece) else cut(piece)
+    return out
+
+
+def one_word(piece: str) -> bool:
+    """Whether a piece surely is one word: letters of Latin script, after a space at most."""
+    return piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) and max(piece) < _OTHER
+
+
+def numbered(words: list[str], index: dict) -> np.ndarray:
+    return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+
+
 class Coder:
-    """Encodes and decodes with a memory-mapped lexicon file."""
+    """Encodes and decodes with a memory-mapped lexicon file.
+
+    Words and pieces met are numbered; new ones of a batch are looked up in the automaton all at
+    once, a letter of every word at a time, and those it does not accept are merged.
+    """
 
     def __init__(self, path: str):
-        self.whole, v, at = mapped(path)
-        self.v, self.label_at = v, at["labels"]
-        merges = list(zip(v["merge_a"], v["merge_b"], v["merge_new"]))
-        self.merge = Merger(list(v["byte_ids"]), merges)
-        ends, blob = v["token_ends"], bytes(v["token_bytes"])
-        self.bytes_of = [blob[a:b] for a, b in zip([0, *ends], ends)]
-        self.special = {self.bytes_of[i].decode(): i for i in v["special"]}
+        self.whole, v, _ = mapped(path)
+        self.v = {k: np.frombuffer(x, x.format) for k, x in v.items()}
+        v = self.v
+        self.bytes_of = [bytes(x) for x in np.split(v["token_bytes"], v["token_ends"][:-1])]
+        self.special = {self.bytes_of[i].decode(): int(i) for i in v["special"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") \
             if self.special else None
-        self.words = regex.compile(SPLIT).findall
-        self.one = [bytes([b]) for b in range(256)]
-        outer = self
-
-        class Words(dict):
+        self.split = regex.compile(SPLIT).findall
+        self.sort_edges()
+        self.token_size = np.diff(v["token_ends"], prepend=0)
+        self.token_at = v["token_ends"] - self.token_size
+        self.merge = Merger(v["byte_ids"].tolist(), list(zip(
+            v["merge_a"].tolist(), v["merge_b"].tolist(), v["merge_new"].tolist())))
+        self.forget()
+
+    def sort_edges(self) -> None:
+        """Edges in order of (state, byte), so that one search finds many words' next edges."""
+        v = self.v
+        state = np.repeat(np.arange(len(v["ends"]), dtype=np.int64), np.diff(v["starts"]))
+        self.edges = state << 8 | v["labels"]
+
+    def forget(self) -> None:
+        """Empty the memory of words."""
+        self.new: list[str] = []
+        new = self.new
+
+        class Numbers(dict):
             def __missing__(self, word):
-                ids = self[word] = outer.word_ids(word.encode("utf-8", "surrogatepass"))
-                return ids
-
-        class Pieces(dict):
-            def __missing__(self, piece):
-                found = [outer.cache[w] for w in outer.words(piece)]
-                ids = found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
-                if len(piece) <= LONG_WORD:
-                    self[piece] = ids
-                return ids
-
-        self.cache, self.known = Words(), Pieces()
-
-    def place(self, word: bytes) -> int:
-        """The number of a word in the lexicon, -1 if it is not there."""
-        v, find, base, one = self.v, self.whole.find, self.label_at, self.one
-        starts, targets, adds = v["starts"], v["targets"], v["adds"]
-        state, n = len(v["ends"]) - 1, 0
-        for b in word:
-            i = find(one[b], base + starts[state], base + starts[state + 1]) - base
-            if i < 0:
-                return -1
-            n += adds[i]
-            state = targets[i]
-        return n if v["ends"][state] else -1
-
-    def word_ids(self, word: bytes) -> tuple[int, ...]:
-        n = self.place(word)
-        if n < 0:
-            return self.merge(word)
-        ends = self.v["out_ends"]
-        return tuple(self.v["outs"][ends[n - 1] if n else 0:ends[n]])
+                n = self[word] = len(self)
+                new.append(word)
+                return n
+
+        self.index, self.letters = Numbers(), 0
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Append ids; where they begin."""
+        at, end = self.used, self.used + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.int32)])
+        self.ids[at:end] = ids
+        self.used = end
+        return at
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and how many each has."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.start[numbers] - (ends - sizes), sizes)], sizes
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of words in the lexicon, -1 where it has none."""
+        v, n = self.v, len(words)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.cumsum(sizes) - sizes
+        state = np.full(n, len(v["ends"]) - 1, np.int64)
+        number = np.zeros(n, np.int64)
+        at, i = np.arange(n) if len(self.edges) else np.zeros(0, np.int64), 0
+        alive = np.full(n, bool(len(self.edges)))
+        while len(at := at[(sizes[at] > i) & alive[at]]):
+            key = state[at] << 8 | data[begin[at] + i]
+            edge = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            found = self.edges[edge] == key
+            alive[at] = found
+            state[at] = v["targets"][edge]
+            number[at] += v["adds"][edge]
+            i += 1
+        return np.where(alive & (v["ends"][state] > 0), number, -1)
+
+    def _learn(self) -> None:
+        """Ids of the words and pieces numbered since the last call."""
+        first, index = len(self.size), self.index
+        split, inner, counts = [], [], []
+        k = 0
+        while k < len(self.new):  # pieces of several words number those words too
+            piece = self.new[k]
+            if not one_word(piece):
+                words = self.split(piece)
+                if len(words) != 1:
+                    split.append(k)
+                    inner += [index[w] for w in words]
+                    counts.append(len(words))
+            k += 1
+        words = [w.encode("utf-8", "surrogatepass") for w in self.new]
+        self.letters += sum(map(len, words))
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        place = self.places(words)
+        known = np.flatnonzero(place >= 0)
+        if len(known):
+            ends, at = self.v["out_ends"], place[known]
+            lo = np.where(at > 0, ends[np.maximum(at - 1, 0)], 0)
+            size[known] = ends[at] - lo
+            upto = np.cumsum(size[known])
+            take = np.arange(int(upto[-1])) + np.repeat(lo - (upto - size[known]), size[known])
+            start[known] = self._keep(self.v["outs"][take].astype(np.int32)) + upto - size[known]
+        alone = place < 0
+        alone[split] = False
+        rest = np.flatnonzero(alone)
+        ids, wide = self.merge.many([words[j] for j in rest.tolist()])
+        start[rest], size[rest] = self._keep(ids) + np.cumsum(wide) - wide, wide
+        self.start, self.size = np.r_[self.start, start], np.r_[self.size, size]
+        if split:
+            ids, wide = self._gather(np.array(inner, np.int64))
+            ends = np.r_[0, np.cumsum(wide)][np.r_[0, np.cumsum(counts)]]
+            at = np.array(split) + first
+            self.start[at], self.size[at] = self._keep(ids) + ends[:-1], np.diff(ends)
+        self.new.clear()
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, and how many each has."""
+        if len(self.index) > CACHE_WORDS or self.letters > CACHE_LETTERS:
+            self.forget()
+        numbers, counts = [], []
+        for text in texts:
+            special = self.cut is not None and self.cut.search(text)
+            n = 0
+            for i, part in enumerate(self.cut.split(text) if special else (text,)):
+                words = [part] if special and i % 2 else pieces(part)
+                if words == [part] and not (special and i % 2):
+                    words = self.split(part)
+                numbers.append(np.array([-1 - self.special[part]]) if special and i % 2 else
+                               numbered(words, self.index))
+                n += len(words)
+            counts.append(n)
+        self._learn()
+        every = np.concatenate([*numbers, np.zeros(0, np.int64)])
+        plain = every >= 0
+        ids, sizes = self._gather(np.where(plain, every, 0)) if len(self.size) else \
+            (np.zeros(0, np.int32), np.zeros(len(every), np.int64))
+        if not plain.all():
+            kept_ids = np.repeat(plain, sizes)
+            sizes = np.where(plain, sizes, 1)
+            out = np.zeros(int(sizes.sum()), np.int32)
+            own = np.repeat(plain, sizes)
+            out[own], out[~own] = ids[kept_ids], -1 - every[~plain]
+            ids = out
+        return ids, np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts)]])
 
     def encode(self, text: str) -> list[int]:
-        if len(self.cache) + len(self.known) > 2 * CACHE_WORDS:
-            self.cache.clear()
-            self.known.clear()
-        get = self.known.__getitem__
-        if self.cut is None or not self.cut.search(text):
-            return list(chain.from_iterable(map(get, pieces(text))))
-        out: list[int] = []
-        for i, part in enumerate(self.cut.split(text)):
-            out.extend([self.special[part]] if i % 2 else
-                       chain.from_iterable(map(get, pieces(part))))
-        return out
+        return self.encode_all([text])[0].tolist()
+
+    def spell(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of ids that lie one after another."""
+        wide = self.token_size[ids]
+        ends = np.cumsum(wide)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.v["token_bytes"][
+            np.arange(total) + np.repeat(self.token_at[ids] - (ends - wide), wide)].tobytes()
+        at = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]].tolist()
+        return [data[lo:hi].decode("utf-8", "replace") for lo, hi in zip(at, at[1:])]
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.spell(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 def count_words(docs: DataFrame, text_col: str = "text", special: tuple[str, ...] = (),
@@ -280,13 +444,13 @@ def count_words(docs: DataFrame, text_col: str = "text", special: tuple[str, ...
     """(word, n) over all texts; tasks add up what they read before it is shuffled."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, met = regex.compile(SPLIT).findall, Counter()
+        met: Counter = Counter()
         cut = regex.compile("|".join(map(regex.escape, special))) if special else None
 
         def out():
             seen: Counter = Counter()
             for piece, n in met.items():
-                for word in words(piece):
+                for word in words_of(piece):
                     seen[word] += n
             met.clear()
             return pa.RecordBatch.from_arrays(
@@ -307,6 +471,22 @@ def count_words(docs: DataFrame, text_col: str = "text", special: tuple[str, ...
             .mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
+def merged_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(word, ids): each word merged once, by Spark's tasks."""
+    byte_ids, merges = vocab.byte_ids, vocab.merges
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge = Merger(byte_ids, merges)
+        for batch in parts:
+            ids, sizes = merge.many([w.encode() for w in batch.column("word").to_pylist()])
+            at = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), pa.ListArray.from_arrays(
+                    pa.array(at), pa.array(ids.astype(np.int32)))], ["word", "ids"])
+
+    return words.mapInArrow(run, "word string, ids array<int>")
+
+
 def compile_lexicon(docs: DataFrame, vocab_path: str, text_col: str = "text",
                     min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> str:
     """Build the lexicon file from all texts, add it to the session's files; its name there."""
@@ -321,17 +501,18 @@ def compile_lexicon(docs: DataFrame, vocab_path: str, text_col: str = "text",
         if room < 0:
             least = r["size"] + 1
             break
-    words = sorted(r.word.encode() for r in
-                   often.filter(F.col("size") >= least).select("word").toLocalIterator())
-    merge = Merger(vocab.byte_ids, vocab.merges)
-    outs = [merge(w) for w in words]
-    flat = lambda it, kind: np.fromiter(it, kind)
+    found = merged_words(often.filter(F.col("size") >= least).select("word"), vocab).toArrow()
+    order = pa.compute.sort_indices(found["word"])  # at most max_words rows
+    found = found.take(order).combine_chunks()
+    words = [w.encode() for w in found["word"].to_pylist()]
+    outs = found["ids"].combine_chunks()
     a, b, new = zip(*vocab.merges)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
     save(path, minimal_automaton(words) | {
-        "outs": flat(chain.from_iterable(outs), np.uint32),
-        "out_ends": np.cumsum([len(o) for o in outs], dtype=np.int64),
+        "outs": outs.flatten().to_numpy(zero_copy_only=False).astype(np.uint32),
+        "out_ends": np.cumsum(pa.compute.list_value_length(outs).to_numpy(zero_copy_only=False),
+                              dtype=np.int64),
         "merge_a": np.array(a, np.uint32), "merge_b": np.array(b, np.uint32),
         "merge_new": np.array(new, np.uint32), "byte_ids": np.array(vocab.byte_ids, np.uint32),
         "token_ends": np.cumsum([len(t) for t in vocab.bytes_of], dtype=np.int64),
@@ -354,18 +535,16 @@ def encode(docs: DataFrame, lexicon: str, text_col: str = "text",
                         + [StructField("decoded", StringType())] * with_decoded)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(SparkFiles.get(lexicon))
+        coder = kept("coder", lexicon, lambda: Coder(SparkFiles.get(lexicon)))
         for whole in parts:
             for batch in _few(whole, text_col):
                 texts = batch.column(batch.schema.get_field_index(text_col))
-                ids = [coder.encode(t.as_py() or "") for t in texts]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                ends = np.zeros(len(ids) + 1, np.int32)
+                flat, sizes = coder.encode_all([t or "" for t in texts.to_pylist()])
+                ends = np.zeros(len(sizes) + 1, np.int32)
                 np.cumsum(sizes, out=ends[1:])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
                 more = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sizes)]
                 if with_decoded:
-                    more.append(pa.array([coder.decode(x) for x in ids], pa.string()))
+                    more.append(pa.array(coder.spell(flat, sizes), pa.string()))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, *more], [*batch.schema.names, "ids", "n_tokens",
                                               *["decoded"] * with_decoded])
@@ -378,7 +557,7 @@ def decode(coded: DataFrame, lexicon: str, ids_col: str = "ids") -> DataFrame:
     coded = _replaced(coded, "decoded")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(SparkFiles.get(lexicon))
+        coder = kept("coder", lexicon, lambda: Coder(SparkFiles.get(lexicon)))
         for batch in parts:
             at = batch.schema.get_field_index(ids_col)
             texts = pa.array([coder.decode(x.as_py() or []) for x in batch.column(at)], pa.string())

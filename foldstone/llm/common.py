@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -43,6 +45,24 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.lit("\u0001"), F.col(text_col))
 
 
+def worker_store() -> dict:
+    """What a Python worker keeps from one task to the next.
+
+    Functions of this subpackage reach tasks by value, each with globals of its own, so a module
+    global or a cached function starts anew in every task; this entry of the process does not.
+    """
+    return sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+
+
+def kept(kind: str, key, make):
+    """The worker's one object of a kind: made again when it was made for another key."""
+    store = worker_store()
+    if kind not in store or store[kind][0] != key:
+        store.pop(kind, None)  # the old one goes before the new one comes
+        store[kind] = (key, make())
+    return store[kind][1]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

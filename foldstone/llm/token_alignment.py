@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_lexicon import SPLIT, Vocabulary
-from .common import batches, staged
+from .common import batches, kept, staged
 
 #: Pairs sent to all tasks, those of the highest counts: 13 bytes each.
 SHARED_PAIRS = 1 << 20
@@ -90,9 +90,12 @@ def byte_level_encoder(path: str, vocab: Vocabulary):
     return lambda texts: [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-@lru_cache(maxsize=2)
 def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
-    """Both tokenizers; a worker loads them once."""
+    """Both tokenizers, loaded once by a worker."""
+    return kept("sides", (a_path, b_path), lambda: _load(a_path, b_path))
+
+
+def _load(a_path: str, b_path: str) -> tuple[Side, Side]:
     import sentencepiece
 
     vocab = Vocabulary(a_path)

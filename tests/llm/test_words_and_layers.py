@@ -49,12 +49,24 @@ def test_automaton_numbers_words_and_shares_suffixes(tmp_path):
     assert len(arrays["ends"]) < sum(len(w) for w in words)
     path = str(tmp_path / "x.bin")
     bpe.save(path, arrays)
-    whole, views, at = bpe.mapped(path)
     coder = bpe.Coder.__new__(bpe.Coder)
-    coder.whole, coder.v, coder.label_at = whole, views, at["labels"]
-    coder.one = [bytes([b]) for b in range(256)]
-    assert [coder.place(w) for w in words] == list(range(len(words)))
-    assert [coder.place(w) for w in (b"", b"ta", b"tapss", b"z")] == [-1] * 4
+    coder.whole, views, _ = bpe.mapped(path)
+    coder.v = {k: np.frombuffer(x, x.format) for k, x in views.items()}
+    coder.sort_edges()
+    assert coder.places(words).tolist() == list(range(len(words)))
+    assert coder.places([b"", b"ta", b"tapss", b"z"]).tolist() == [-1] * 4
+    assert coder.places([]).tolist() == []
+
+
+def test_many_words_merge_like_one(vocab):
+    merge = bpe.Merger(vocab.byte_ids, vocab.merges)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeghinorst aéß日") for _ in range(rng.randrange(60))).encode()
+             for _ in range(500)] + [b"", b"a", b"aaaaaaa", b"a" * 39, b"a" * 40, b"a" * 41]
+    ids, sizes = merge.many(words)
+    parts = [tuple(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert parts == [merge(w) for w in words]
+    assert [len(x) for x in merge.many([])] == [0, 0]
 
 
 SECRET = "password=abcdef123456"
