@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -63,6 +65,31 @@ def kept(kind: str, key, make):
     return store[kind][1]
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the machine.
+
+    Workers go on to the tasks of later stages, and their allocators keep what a task has freed.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def releasing(run):
+    """A function for ``mapInArrow`` after which the worker gives its memory back."""
+
+    def wrapped(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(parts)
+        finally:
+            release()
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .bpe_lexicon import mapped, save
-from .common import WORD, batches, mix, staged
+from .common import batches, mix, releasing, staged, WORD
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -47,7 +47,7 @@ BELOW, ABOVE = 6.0, 6.0
 LEAST_DOCS = 30
 BIN = 0.001
 #: Words taken at a time, and words whose scores a worker remembers.
-SLICE, CACHE_WORDS = 50_000, 400_000
+SLICE, CACHE_WORDS = 20_000, 100_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _WORDS = re.compile(WORD).findall
@@ -132,7 +132,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         yield from out()
 
     return (docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-            .mapInArrow(count, "lang string, gram string, n long")
+            .mapInArrow(releasing(count), "lang string, gram string, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
@@ -222,7 +222,7 @@ def store(model: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) ->
                 [pa.array(keys.view(np.int64)), batch.column(2)], ["key", "logp"])
 
     table = top.filter(size >= least).select("lang", "gram", F.col("logp").cast("float")).mapInArrow(
-        hashes, "key long, logp float").toArrow()  # at most max_ngrams rows
+        releasing(hashes), "key long, logp float").toArrow()  # at most max_ngrams rows
     keys = table.column("key").to_numpy().view(np.uint64)
     by = np.argsort(keys)
     name = f"ngrams-{uuid.uuid4().hex}.bin"
@@ -303,7 +303,7 @@ def score(docs: DataFrame, stored: str, model: DataFrame, text_col: str = "text"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Model(SparkFiles.get(stored), order)
-        for batch in batches(parts, 4 << 20, text_col):
+        for batch in batches(parts, 1 << 20, text_col):
             place = batch.schema.get_field_index
             texts = [t or "" for t in batch.column(place(text_col)).to_pylist()]
             words = [_WORDS(t) for t in texts]
@@ -317,7 +317,7 @@ def score(docs: DataFrame, stored: str, model: DataFrame, text_col: str = "text"
                    pa.array([[{"gram": g, "n": n} for g, n in x.items()] for x in left], kind)],
                 [*[f.name for f in kept], *COUNTS, _LOG, _LETTERS, _OPEN])
 
-    scored = staged(docs.mapInArrow(run, schema).withColumn(_ROW, F.monotonically_increasing_id()))
+    scored = staged(docs.mapInArrow(releasing(run), schema).withColumn(_ROW, F.monotonically_increasing_id()))
     log = F.col(_LOG)
     if scored.filter(F.size(_OPEN) > 0).limit(1).count():
         lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang")
