@@ -78,6 +78,27 @@ def key_matches(
     )
 
 
+def match_levels(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys_used, matched, left_rows, right_rows, pairs) for the first 1, 2, ... of the keys.
+
+    How fast matches thin out as keys are added tells a leak from chance.  Rows are counted per
+    full key once and rolled up from there; levels without a match have a row of zeros.
+    """
+    keys = list(keys)
+    counts = left.select(*keys, F.lit(1).alias("__l")).unionByName(
+        right.select(*keys, F.lit(0).alias("__l"))).groupBy(*keys).agg(
+        F.sum("__l").alias("__left"), F.sum(F.lit(1) - F.col("__l")).alias("__right"))
+    used = F.lit(len(keys)) - F.bit_count(F.grouping_id())
+    rolled = counts.rollup(*keys).agg(used.alias("keys_used"), F.sum("__left").alias("l"),
+                                      F.sum("__right").alias("r")).where("l > 0 and r > 0")
+    found = rolled.groupBy("keys_used").agg(
+        F.count("*").alias("matched"), F.sum("l").alias("left_rows"),
+        F.sum("r").alias("right_rows"), F.sum(F.col("l") * F.col("r")).alias("pairs"))
+    levels = left.sparkSession.range(1, len(keys) + 1).select(F.col("id").cast("int").alias("keys_used"))
+    # one row per level on both sides
+    return levels.join(F.broadcast(found), "keys_used", "left").fillna(0)
+
+
 def matching_rows(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``left`` whose keys occur in ``right``, with how often they do there."""
     keys = list(keys)

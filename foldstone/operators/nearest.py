@@ -1,28 +1,36 @@
 """Exact nearest-neighbour join in a handful of dimensions, without a cross join.
 
-Space is cut into small cells (a k-d split fitted on a bounded sample, as a range partitioner does
-for sorting).  Round one compares each query with the points of its own cell only and so gets an
-upper bound on the distance; round two visits just those other cells whose bounding box is within
-that bound.  The sample affects speed only, never the answer.
+Space is cut twice by k-d splits fitted on samples, as a range partitioner does for sorting: into
+regions, and every region into cells of about ``CELL_ROWS`` points.  There are about as many regions
+as cells in a region, so neither list grows faster than the square root of the points; the first is
+known to all tasks, the second only where its region is worked on.  Round one compares each query
+with the points of its own cell and so gets a bound on the distance; round two visits the cells
+whose bounding box lies within the bound, looked for only in regions whose box does.  The samples
+affect speed only, never the answer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldstone.functions import scalar as S
+from foldstone.session import checkpoint
 
 CELL_ROWS = 128
-MAX_DEPTH = 16
 SAMPLE_PER_CELL = 8
-MAX_SAMPLE = 262_144
+#: Queries of one region that a task looks up before another task takes the rest.
+PROBES_AT_ONCE = 1 << 18
+#: Distances to boxes that a task holds at a time.
+HELD_GAPS = 4_000_000
+_NODE_BITS = 32
 
 
 def _fit_cells(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +51,200 @@ def _fit_cells(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return axis, cut
 
 
+def _descend(x: np.ndarray, axis: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+    """The leaf of each row in a tree of ``_fit_cells``."""
+    node, rows = np.ones(len(x), dtype=np.int64), np.arange(len(x))
+    for _ in range(depth):
+        node = 2 * node + (x[rows, axis[node]] > cut[node])
+    return node
+
+
+def _gaps(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance from each row of x to each box."""
+    out = np.zeros((len(x), len(low)))
+    for d in range(x.shape[1]):
+        column = x[:, d, None]
+        out += np.maximum(np.maximum(low[:, d] - column, column - high[:, d]), 0.0) ** 2
+    return out
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _by_region(
+    heads: DataFrame, rows: DataFrame, parts: int, spread: dict[int, int],
+    start: Callable, step: Callable, schema: str,
+) -> DataFrame:
+    """Stream each region's ``rows`` past what its ``heads`` hold.
+
+    Both have region and further columns of their own.  ``start`` makes a state of a region's head
+    rows (arrow table), which are few; ``step(state, batch)`` gives record batches.  Regions of
+    very many rows are dealt to ``spread[region]`` tasks, each with its own copy of the heads.
+    """
+    spark = rows.sparkSession
+    some = spark.createDataFrame([(r, n) for r, n in spread.items() if n > 1], "region long, n int")
+    hot = F.coalesce(F.col("n"), F.lit(1))
+    # one row per region that is dealt out
+    heads = heads.join(F.broadcast(some), "region", "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), hot - 1))).drop("n").withColumn("head", F.lit(True))
+    rows = rows.join(F.broadcast(some), "region", "left").withColumn(
+        "part", F.pmod(F.xxhash64(*rows.columns), hot).cast("int")).drop("n").withColumn(
+        "head", F.lit(False))
+    both = heads.unionByName(rows, allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, state = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            region, part = batch.column("region").to_numpy(), batch.column("part").to_numpy()
+            head = batch.column("head").to_numpy(zero_copy_only=False)
+            cuts = 1 + np.flatnonzero((region[1:] != region[:-1]) | (part[1:] != part[:-1])
+                                      | (head[1:] != head[:-1]))
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                now = region[lo], part[lo]
+                if now != last:
+                    last, held, state = now, [], None
+                if head[lo]:
+                    held.append(batch.slice(lo, hi - lo))
+                    continue
+                if state is None:
+                    state = start(pa.Table.from_batches(held) if held else None)
+                if state is not None:
+                    yield from step(state, batch.slice(lo, hi - lo))
+
+    return both.repartition(parts, "region", "part").sortWithinPartitions(
+        "region", "part", F.desc("head")).mapInArrow(run, schema)
+
+
+class Cells:
+    """Reference points in cells: the points, the cells' boxes, and the regions' boxes."""
+
+    def __init__(self, points: DataFrame, at: Sequence[str]):
+        spark = points.sparkSession
+        self.at, width = list(at), len(at)
+        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        total = points.count()
+        depth = max(0, int(np.ceil(np.log2(max(total, 1) / CELL_ROWS))))
+        outer = (depth + 1) // 2
+        inner = depth - outer
+        # as many rows as the regions need, which is the square root of what the cells would
+        sample = points.orderBy(F.xxhash64(*at)).limit(2 * SAMPLE_PER_CELL * 2**outer).select(*at)
+        axis, cut = _fit_cells(sample.toPandas().to_numpy(dtype=float), outer)
+
+        @F.pandas_udf("long")
+        def region(frame: pd.DataFrame) -> pd.Series:
+            return pd.Series(_descend(frame.to_numpy(dtype=float), axis, cut, outer))
+
+        points = points.select("rid", F.array(*at).alias("x"), region(F.struct(*at)).alias("region"))
+        if inner:
+            points = checkpoint(points)
+            share = max(1, CELL_ROWS // SAMPLE_PER_CELL)
+            heads = points.where(F.pmod(F.xxhash64("x"), F.lit(share)) == 0).select(
+                "region", F.col("x").alias("sampled"))
+
+            def fit(table: pa.Table | None):
+                drawn = np.zeros((0, width)) if table is None else np.concatenate(
+                    [_matrix(c, width) for c in table["sampled"].chunks])
+                return _fit_cells(drawn, inner)
+
+            def place(tree, batch: pa.RecordBatch):
+                node = _descend(_matrix(batch.column("x"), width), *tree, inner)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rid"), batch.column("x"), batch.column("region"),
+                     pa.array((batch.column("region").to_numpy() << _NODE_BITS) | node)],
+                    ["rid", "x", "region", "cell"])
+
+            kind = points.schema["rid"].dataType.simpleString()
+            points = _by_region(heads, points, self.parts, {}, fit, place,
+                                f"rid {kind}, x array<double>, region long, cell long")
+        else:
+            points = points.withColumn("cell", F.shiftleft("region", _NODE_BITS))
+        self.points = checkpoint(points.select(
+            "rid", "region", "cell", *[F.col("x")[i].alias(a) for i, a in enumerate(at)]))
+        self.boxes = checkpoint(self.points.groupBy("region", "cell").agg(
+            F.array(*[F.min(a) for a in at]).alias("low"), F.array(*[F.max(a) for a in at]).alias("high")))
+        # one row per region, about as many as the square root of the number of cells
+        found = self.boxes.groupBy("region").agg(
+            F.array(*[F.min(F.col("low")[i]) for i in range(width)]).alias("low"),
+            F.array(*[F.max(F.col("high")[i]) for i in range(width)]).alias("high")).toPandas()
+        self.empty = found.empty
+        self.regions = spark.sparkContext.broadcast((
+            found["region"].to_numpy(np.int64), np.array(found["low"].tolist(), float).reshape(-1, width),
+            np.array(found["high"].tolist(), float).reshape(-1, width)))
+
+    def home(self, probes: DataFrame) -> DataFrame:
+        """(probe, cell): the cell of the nearest box in the region of the nearest box."""
+        regions = self.regions
+
+        @F.pandas_udf("long")
+        def nearest(frame: pd.DataFrame) -> pd.Series:
+            ids, low, high = regions.value
+            x, step = frame.to_numpy(dtype=float), max(1, HELD_GAPS // max(len(ids), 1))
+            return pd.Series(np.concatenate([
+                ids[_gaps(x[i:i + step], low, high).argmin(axis=1)]
+                for i in range(0, len(x), step)] or [np.zeros(0, np.int64)]))
+
+        placed = probes.withColumn("region", nearest(F.struct(*self.at)))
+
+        def step(state, batch):
+            ids, low, high = state
+            x, size = _matrix(batch.column("x"), low.shape[1]), max(1, HELD_GAPS // len(ids))
+            best = [_gaps(x[i:i + size], low, high).argmin(axis=1) for i in range(0, len(x), size)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("probe"), pa.array(ids[np.concatenate(best)])], ["probe", "cell"])
+
+        return self._look(placed, [], step)
+
+    def within(self, probes: DataFrame) -> DataFrame:
+        """(probe, cell): cells but the ``own`` one that may hold a point within ``bound``."""
+        regions = self.regions
+
+        @F.pandas_udf("array<long>")
+        def reached(frame: pd.DataFrame, bound: pd.Series) -> pd.Series:
+            ids, low, high = regions.value
+            x, limit = frame.to_numpy(dtype=float), bound.to_numpy()[:, None] * (1 + 1e-9)
+            step, out = max(1, HELD_GAPS // max(len(ids), 1)), []
+            for i in range(0, len(x), step):
+                out += [ids[row].tolist() for row in
+                        _gaps(x[i:i + step], low, high) <= limit[i:i + step]]
+            return pd.Series(out)
+
+        placed = probes.withColumn("region", F.explode(reached(F.struct(*self.at), F.col("bound"))))
+
+        def step(state, batch):
+            ids, low, high = state
+            x, size = _matrix(batch.column("x"), low.shape[1]), max(1, HELD_GAPS // len(ids))
+            limit = batch.column("bound").to_numpy()[:, None] * (1 + 1e-9)
+            own = batch.column("own").to_numpy()[:, None]
+            for i in range(0, len(x), size):
+                near = _gaps(x[i:i + size], low, high) <= limit[i:i + size]
+                row, col = np.nonzero(near & (ids[None] != own[i:i + size]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("probe").take(pa.array(row + i)), pa.array(ids[col])],
+                    ["probe", "cell"])
+
+        return self._look(placed, ["bound", "own"], step)
+
+    def _look(self, placed: DataFrame, more: Sequence[str], step: Callable) -> DataFrame:
+        """Stream probes past the boxes of the region they are placed in."""
+        placed = checkpoint(placed.select("probe", "region", F.array(*self.at).alias("x"), *more))
+        # one row per region
+        spread = {r["region"]: -(-r["count"] // PROBES_AT_ONCE)
+                  for r in placed.groupBy("region").count().collect()}
+        width, kind = len(self.at), placed.schema["probe"].dataType.simpleString()
+
+        def start(table: pa.Table | None):
+            if table is None:
+                return None
+            return (table["cell"].to_numpy(), *[
+                np.concatenate([_matrix(c, width) for c in table[b].chunks]) for b in ("low", "high")])
+
+        return _by_region(self.boxes, placed, self.parts, spread, start, step,
+                          f"probe {kind}, cell long")
+
+
 def nearest_join(
     queries: DataFrame, reference: DataFrame, dims: Sequence[str], query_id: str, reference_id: str
 ) -> DataFrame:
@@ -52,7 +254,6 @@ def nearest_join(
     point are collapsed on both sides before any comparison, so a third of all rows being the same
     point costs one comparison.
     """
-    spark = queries.sparkSession
     dims = list(dims)
     at = [f"x{i}" for i in range(len(dims))]
     # "+ 0.0" turns -0.0 into 0.0 so that equal points are equal keys.
@@ -64,91 +265,34 @@ def nearest_join(
     probes = asked.groupBy(*at).agg(F.min("qid").alias("probe"))
     # Both are narrow and read several times below.
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
-    probes = probes.persist(StorageLevel.MEMORY_AND_DISK)
-
-    total = points.count()
-    depth = int(np.clip(np.ceil(np.log2(max(total, 1) / CELL_ROWS)), 0, MAX_DEPTH))
-    wanted = min(SAMPLE_PER_CELL * 2**depth * 4, MAX_SAMPLE)
-    sample = points.orderBy(F.xxhash64(*at)).limit(wanted).select(*at)
-    axis, cut = _fit_cells(sample.toPandas().to_numpy(dtype=float), depth)
-
-    @F.pandas_udf("long")
-    def cell(frame: pd.DataFrame) -> pd.Series:
-        x = frame.to_numpy(dtype=float)
-        node, rows = np.ones(len(x), dtype=np.int64), np.arange(len(x))
-        for _ in range(depth):
-            node = 2 * node + (x[rows, axis[node]] > cut[node])
-        return pd.Series(node)
-
-    points = points.withColumn("cell", cell(F.struct(*at)))
-    # One row per cell, at most 2**MAX_DEPTH.
-    boxes = points.groupBy("cell").agg(
-        *[F.min(a).alias(f"lo_{a}") for a in at], *[F.max(a).alias(f"hi_{a}") for a in at]
-    ).toPandas()
-    if boxes.empty:
+    probes = checkpoint(probes)
+    cells = Cells(points, at)
+    points.unpersist()
+    if cells.empty:
         return asked.select(F.col("qid").alias(query_id),
                             F.lit(None).cast(reference.schema[reference_id].dataType)
                             .alias(reference_id),
                             F.lit(None).cast("double").alias("distance"))
-    cells = spark.sparkContext.broadcast((
-        boxes["cell"].to_numpy(),
-        boxes[[f"lo_{a}" for a in at]].to_numpy(dtype=float),
-        boxes[[f"hi_{a}" for a in at]].to_numpy(dtype=float),
-    ))
-
-    def gaps(x: np.ndarray) -> np.ndarray:
-        """Squared distance from each row of x to each box."""
-        _, low, high = cells.value
-        out = np.zeros((len(x), len(low)))
-        for d in range(x.shape[1]):
-            column = x[:, d, None]
-            out += np.maximum(np.maximum(low[:, d] - column, column - high[:, d]), 0.0) ** 2
-        return out
-
-    def by_chunks(x: np.ndarray):
-        size = max(1, 4_000_000 // max(len(cells.value[0]), 1))
-        for start in range(0, len(x), size):
-            yield start, gaps(x[start:start + size])
-
-    @F.pandas_udf("long")
-    def home(frame: pd.DataFrame) -> pd.Series:
-        """The cell whose box is closest (0 away when inside one): never an empty cell."""
-        x = frame.to_numpy(dtype=float)
-        found = [cells.value[0][g.argmin(axis=1)] for _, g in by_chunks(x)]
-        return pd.Series(np.concatenate(found))
-
-    @F.pandas_udf("array<long>")
-    def others(frame: pd.DataFrame, bound: pd.Series, own: pd.Series) -> pd.Series:
-        """Cells other than ``own`` that could hold a point within the bound."""
-        x, limit, skip = frame.to_numpy(dtype=float), bound.to_numpy(), own.to_numpy()
-        ids, out = cells.value[0], []
-        for start, g in by_chunks(x):
-            reach = limit[start:start + len(g), None] * (1 + 1e-9)
-            keep = (g <= reach) & (ids[None, :] != skip[start:start + len(g), None])
-            out += [ids[row].tolist() for row in keep]
-        return pd.Series(out)
 
     def closest(candidates: DataFrame) -> DataFrame:
         """Join probes with the points of their cell; partial aggregation keeps one per probe."""
         square = reduce(lambda a, b: a + b, [
             (F.col(f"q.{a}") - F.col(f"p.{a}")) * (F.col(f"q.{a}") - F.col(f"p.{a}")) for a in at])
         return (
-            candidates.alias("q").join(points.alias("p"), F.col("q.cell") == F.col("p.cell"))
+            candidates.alias("q").join(cells.points.alias("p"), F.col("q.cell") == F.col("p.cell"))
             .select(F.col("q.probe").alias("probe"),
                     F.struct(square.alias("d2"), F.col("p.rid").alias("rid")).alias("hit"))
             .groupBy("probe").agg(F.min("hit").alias("hit"))
         )
 
-    probes = probes.withColumn("cell", home(F.struct(*at)))
-    first = closest(probes)
-    wider = (
-        probes.join(first, "probe")
-        .withColumn("cell", F.explode(others(F.struct(*at), F.col("hit.d2"), F.col("cell"))))
-        .drop("hit")
-    )
-    best = first.unionByName(closest(wider)).groupBy("probe").agg(F.min("hit").alias("hit"))
-    answered = probes.select("probe", *at).join(best, "probe")
-    return asked.join(answered, at).select(
+    homes = probes.join(cells.home(probes), "probe")
+    first = checkpoint(closest(homes).join(homes, "probe"))
+    bounded = first.select("probe", *at, F.col("hit.d2").alias("bound"), F.col("cell").alias("own"))
+    wider = probes.join(cells.within(bounded), "probe")
+    best = first.select("probe", "hit").unionByName(closest(wider)).groupBy("probe").agg(
+        F.min("hit").alias("hit"))
+    answered = probes.join(best, "probe")
+    return asked.join(answered.select(*at, "hit"), at).select(
         F.col("qid").alias(query_id),
         F.col("hit.rid").alias(reference_id),
         F.sqrt("hit.d2").alias("distance"),

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from foldstone import constants as K
 from foldstone.operators import blend, folds, impute, metrics
 from foldstone.operators.impute import median_impute
-from foldstone.plans import models, tuning
+from foldstone.plans import models, tuning, workflow
 from foldstone.plans.clusters import assign_clusters, fit_clusters
 from foldstone.plans.importance import feature_importance, permutation_importance
+from foldstone.plans.pseudo_study import threshold_refits
 from foldstone.session import checkpoint
 from foldstone.workload import fixtures as X
 from foldstone.workload.registry import query, tidy
@@ -128,6 +129,33 @@ def tuning_trials(spark, sf):
     return tidy(tuning.tune(df, FEATURES, list(points), k=2, points=points))
 
 
+@query("tuning_rungs")
+def tuning_rungs(spark, sf):
+    """Eight drawn settings, losers ended after one fold of each seed; small trees."""
+    df = checkpoint(X.featured(spark, sf).where("split = 'train'").select(
+        "record_id", "target", *FEATURES))
+    points = {"leafwise": [{**p, "trees": 4.0, "depth": min(p["depth"], 4.0)}
+                           for p in tuning.draw("leafwise", 8)]}
+    return tidy(tuning.tune_in_rungs(df, FEATURES, list(points), k=2, points=points))
+
+
+@query("pseudo_threshold_refits")
+def pseudo_threshold_refits(spark, sf):
+    """Per confidence threshold: rows admitted, and the scores of refits out of fold."""
+    train, test = _split(spark, sf)
+    preset = models.PRESETS["leafwise"].with_settings(**QUICK["leafwise"])
+    return tidy(threshold_refits(train, test, FEATURES, "leafwise", preset))
+
+
+@query("seed_bag_scores")
+def seed_bag_scores(spark, sf):
+    """Five seeds of folds and fits of four families, averaged and blended with fixed weights."""
+    train, test = _split(spark, sf)
+    weights = dict(zip(("ordered", "leafwise", "levelwise", "forest"),
+                       K.FIXED_BLENDS["ordered35_leaf35_level20_forest10"], strict=True))
+    return tidy(workflow.bag_seeds(train, test, FEATURES, weights, overrides=QUICK))
+
+
 def _fitted_forest(spark, sf):
     train, _ = _split(spark, sf)
     filled = median_impute(train, train, FEATURES)

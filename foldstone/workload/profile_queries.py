@@ -321,13 +321,29 @@ def standardize(spark, sf):
     return tidy(out.select("record_id", *columns))
 
 
+_LEAK_KEYS = ("age", "gender", "deathdate", "latitude", "longitude")
+_LEAK_NAMES = ", ".join(_LEAK_KEYS)
+
+
 @query("exact_match_leak", X.with_views(
-    "select age, gender, deathdate, count(distinct a.record_id) as left_rows, "
-    "count(distinct b.record_id) as right_rows, count(*) as pairs from train a "
-    "join test b using (age, gender, deathdate) group by all", "train", "test"))
+    f"select {_LEAK_NAMES}, count(*) filter (split = 'train') as left_rows, "
+    "count(*) filter (split = 'test') as right_rows, "
+    "count(*) filter (split = 'train') * count(*) filter (split = 'test') as pairs "
+    f"from records group by {_LEAK_NAMES} having left_rows > 0 and right_rows > 0", "records"))
 def exact_match_leak(spark, sf):
-    return joins.key_matches(
-        X.train(spark, sf), X.test(spark, sf), ["age", "gender", "deathdate"])
+    """Records of both splits that agree in all five keys; missing keys match missing ones."""
+    return joins.key_matches(X.train(spark, sf), X.test(spark, sf), _LEAK_KEYS)
+
+
+@query("match_leak_levels", X.with_views(" union all ".join(
+    f"select {n} as keys_used, count(*) as matched, cast(coalesce(sum(l), 0) as bigint) as left_rows, "
+    "cast(coalesce(sum(r), 0) as bigint) as right_rows, cast(coalesce(sum(l * r), 0) as bigint) as pairs "
+    "from (select count(*) filter (split = 'train') as l, count(*) filter (split = 'test') as r "
+    f"from records group by {', '.join(_LEAK_KEYS[:n])} having l > 0 and r > 0)"
+    for n in range(1, len(_LEAK_KEYS) + 1)), "records"))
+def match_leak_levels(spark, sf):
+    """Matches between the splits on ever more of the five keys."""
+    return joins.match_levels(X.train(spark, sf), X.test(spark, sf), _LEAK_KEYS)
 
 
 @query("key_overlap", X.with_views(
