@@ -55,6 +55,38 @@ def group_folds(spark, sf):
         "record_id", "location", "fold")
 
 
+# a step of the walk gives one left-over group to the fold of least load (whole numbers throughout)
+_GREEDY_SQL = """g as (select location, count(*) as n, sum(target) as p from train
+    where location is not null group by location),
+  t as (select sum(n)::hugeint as all_n, greatest(sum(p), 1)::hugeint as all_p from g),
+  shapes as (select n, p, count(*) as m, p * any_value(all_n) + n * any_value(all_p) as w
+             from g, t group by n, p),
+  items as (select n, p, w, i, row_number() over (order by w desc, n desc, i) as j
+            from (select n, p, w, unnest(range(m % 5)) as i from shapes)),
+  walk as (select 0::bigint as j, [0, 0, 0, 0, 0]::hugeint[] as loads, null::int as fold
+    union all select items.j, list_transform(range(1, 6), lambda x: loads[x] + case
+      when x = list_position(loads, list_min(loads)) then w else 0 end)::hugeint[],
+      (list_position(loads, list_min(loads)) - 1)::int
+    from walk join items on items.j = walk.j + 1),
+  ranked as (select location, n, p, row_number() over (partition by n, p order by
+      md5(concat('42:', location)), location) - 1 as spot from g),
+  dealt as (select r.location, case when spot < m - m % 5 then (spot % 5)::int else walk.fold end as fold
+    from ranked r join shapes s on s.n = r.n and s.p = r.p
+    left join items on items.n = r.n and items.p = r.p and items.i = spot - (m - m % 5)
+    left join walk on walk.j = items.j)"""
+
+
+@query("group_folds_greedy", X.with_views("", "train").rstrip().replace("with ", "with recursive ", 1)
+       + ", " + _GREEDY_SQL
+       + " select record_id, location, fold from train join dealt using (location)")
+def group_folds_greedy(spark, sf):
+    """Whole places in folds of level rows and positives."""
+    df = X.train(spark, sf).select("record_id", "location", "target")
+    dealt = folds.greedy_group_folds(df, "location")
+    return df.join(dealt.select("location", "fold"), "location").select(
+        "record_id", "location", "fold")
+
+
 @query("class_weights", X.with_views(
     "select target, count(*) as row_count, round(sum(count(*)) over () / "
     "(count(*) over () * count(*)), 6) as weight from train group by target", "train"))
