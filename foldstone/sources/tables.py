@@ -164,3 +164,38 @@ def read_prediction_sets(spark: SparkSession, patterns: Sequence[str]) -> DataFr
             F.col("_metadata.file_path").alias("source"), pick("ID", "string").alias("id"),
             pick("TargetF1", "int").alias("label"), pick("TargetRAUC", "double").alias("score")))
     return out
+
+
+def scan_prediction_files(
+    spark: SparkSession, patterns: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of prediction files, and what was turned away: (rows, rejects).
+
+    Rows are (source, id, label, score) with the file each comes from, as the reader tells.
+    Rejects are (source, reason, rows): files without a header or without the label column, whose
+    rows are not read (``rows`` is null), and per file the rows whose id is missing or whose label or
+    score is no number; those rows are not among the rows.
+    """
+    files = sorted({f for pattern in patterns for f in _files(spark, pattern)})
+    groups = by_header(spark, files)
+    known = {f for group in groups.values() for f in group}
+    turned = [(f, "no header", None) for f in files if f not in known]
+    rows = spark.createDataFrame([], "source string, id string, label int, score double, reason string")
+    for header, group in groups.items():
+        if "TargetF1" not in header:
+            turned += [(f, "no label column", None) for f in group]
+            continue
+        raw = spark.read.option("header", True).schema(T.StructType(
+            [T.StructField(c, T.StringType()) for c in header])).csv(group)
+        text = lambda c: F.col(f"`{c}`") if c in header else F.lit(None).cast("string")
+        label = text("TargetF1").try_cast("double").try_cast("int")
+        score = present(text("TargetRAUC").try_cast("double"))
+        reason = (F.when(text("ID").isNull(), "no id")
+                  .when(label.isNull(), "label is no number")
+                  .when(text("TargetRAUC").isNotNull() & score.isNull(), "score is no number"))
+        rows = rows.unionByName(raw.select(
+            F.col("_metadata.file_path").alias("source"), text("ID").alias("id"),
+            label.alias("label"), score.alias("score"), reason.alias("reason")))
+    bad = rows.where("reason is not null").groupBy("source", "reason").agg(F.count("*").alias("rows"))
+    rejects = bad.unionByName(spark.createDataFrame(turned, "source string, reason string, rows long"))
+    return rows.where("reason is null").drop("reason"), rejects

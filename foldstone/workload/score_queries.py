@@ -10,8 +10,10 @@ from foldstone import constants as K
 from foldstone.functions import scalar as S
 from foldstone.functions.features import add_features
 from foldstone.operators import blend, calibrate, encode, folds, joins, metrics, pseudo, verify
+from foldstone.session import shared_folder
+from foldstone.sources.publish import publish, read_published
 from foldstone.sources.sinks import to_predictions
-from foldstone.sources.tables import table
+from foldstone.sources.tables import PREDICTION_SCHEMA, scan_prediction_files, table
 from foldstone.workload import fixtures as X
 from foldstone.workload.feature_queries import _age_case
 from foldstone.workload.registry import query, tidy
@@ -483,6 +485,46 @@ def prediction_set_profile(spark, sf):
     return tidy(verify.profile_prediction_sets(sets).withColumnRenamed("rows", "row_count"))
 
 
+def _as_files(df):
+    """Prediction columns under the names that prediction files use."""
+    return df.select(F.col("record_id").alias("ID"), metrics.label_of(F.col("p")).alias("TargetF1"),
+                     F.col("p").alias("TargetRAUC"))
+
+
+@query("prediction_file_scan", X.with_views(
+    "select model as source, count(*) as row_count, count(*) filter (p >= 0.5) as positives, "
+    "round(count(*) filter (p >= 0.5) / count(*), 6) as positive_share, "
+    "round(avg(p), 6) as mean_score, 0::bigint as rejected from longs where split = 'test' "
+    "group by model", "longs"))
+def prediction_file_scan(spark, sf):
+    """Every model's predictions written as files, found by pattern and profiled per set."""
+    root = shared_folder(spark, "sets")
+    df = X.long_scores(spark, sf).where("split = 'test'")
+    for model in X.MODELS:
+        publish(_as_files(df.where(F.col("model") == model)), f"{root}/{model}")
+    rows, rejects = scan_prediction_files(spark, [f"{root}/*/data-*"])
+    source = F.regexp_extract("source", "/([^/]+)/data-", 1)
+    bad = rejects.groupBy(source.alias("source")).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("bad"))
+    found = verify.profile_prediction_sets(rows.withColumn("source", source))
+    # one row per set on both sides
+    return tidy(found.join(F.broadcast(bad), "source", "left").withColumnRenamed("rows", "row_count")
+                .withColumn("rejected", F.coalesce("bad", F.lit(0)).cast("long")).drop("bad"))
+
+
+@query("published_copies", X.with_views(
+    "select c as copy, cast(record_id as varchar) as id, cast(p >= 0.5 as int) as label, "
+    "round(p, 6) as score from scores, (select unnest([1, 2])::int as c) where split = 'test'", "scores"))
+def published_copies(spark, sf):
+    """One prediction set published to two folders and read back from both."""
+    root = shared_folder(spark, "copies")
+    paths = [f"{root}/first", f"{root}/second"]
+    publish(_as_files(X.scores(spark, sf).where("split = 'test'")), paths)
+    copies = [read_published(spark, p, PREDICTION_SCHEMA).select(
+        F.lit(i + 1).alias("copy"), F.col("ID").alias("id"), F.col("TargetF1").alias("label"),
+        F.col("TargetRAUC").alias("score")) for i, p in enumerate(paths)]
+    return tidy(copies[0].unionByName(copies[1]))
+
+
 @query("duplicate_keys", (
     "select l_orderkey, l_linenumber, count(*) as row_count from lineitem group by all "
     "having count(*) > 1"))
