@@ -171,34 +171,60 @@ def cross_fit(
         for f in range(k)])
 
 
+def fold_rows(
+    train: DataFrame, test: DataFrame | None, features: Sequence[str], f: int, fold: str = "fold",
+) -> DataFrame:
+    """(record_id, target, kind, features): the rows of one fold's fits, filled.
+
+    ``kind`` is ``fit``, ``held`` or ``test``; fills are medians of the fitting rows.  Store this
+    once where several models of a fold are fitted.
+    """
+    columns = ["record_id", *features]
+    own = fold_complement(train, f, fold)
+    prepare = preparation(own, features)
+    kinds = [("fit", own), ("held", train.where(F.col(fold) == f))]
+    if test is not None:
+        kinds.append(("test", test.withColumn("target", F.lit(None).cast("int"))))
+    return reduce(lambda a, b: a.unionByName(b), [
+        prepare(rows).select(*columns, F.col("target").cast("int").alias("target"),
+                             F.lit(kind).alias("kind")) for kind, rows in kinds])
+
+
 def fold_scores(
     train: DataFrame, test: DataFrame | None, features: Sequence[str], model: str, f: int,
     preset: Preset | None = None, seed: int = K.SEED, pseudo_threshold: float | None = None,
     fold: str = "fold",
 ) -> DataFrame:
     """The part of ``cross_fit`` that leaves out one fold."""
+    rows = fold_rows(train, test, features, f, fold).persist()
+    out = filled_fold_scores(rows, features, model, f, preset, seed, pseudo_threshold, fold,
+                             test is not None)
+    rows.unpersist()
+    return out
+
+
+def filled_fold_scores(
+    rows: DataFrame, features: Sequence[str], model: str, f: int, preset: Preset | None = None,
+    seed: int = K.SEED, pseudo_threshold: float | None = None, fold: str = "fold",
+    with_test: bool = True,
+) -> DataFrame:
+    """Scores of held-out (and test) rows of what ``fold_rows`` gives, by a model of its fit rows."""
     preset = preset or PRESETS[model]
-    columns = ["record_id", *features]
-    train = train.select(*columns, "target", fold)
-    own = fold_complement(train, f, fold)
-    held = train.where(F.col(fold) == f)
-    prepare = preparation(own, features, preset.scaled)
-    filled = prepare(own).persist()
-    fitted = fit(filled, features, preset, seed)
-    unlabelled = None if test is None else prepare(test.select(*columns))
-    if pseudo_threshold is not None and unlabelled is not None:
-        scored = score(fitted, unlabelled, features).withColumn(
-            "target", F.lit(None).cast("int"))
-        more = augment(filled.drop(fold), scored, pseudo_threshold).drop("is_pseudo")
-        fitted = fit(more, features, preset, seed)
-    filled.unpersist()
-    wanted = [("oof", prepare(held))]
-    if unlabelled is not None:
-        wanted.append(("test", unlabelled))
+    part = lambda kind: rows.where(F.col("kind") == kind).drop("kind")
+    own = part("fit")
+    if preset.scaled:
+        centre = moments(own, list(features))
+        rows = apply_moments(rows, centre)
+        own = part("fit")
+    fitted = fit(own, features, preset, seed)
+    if pseudo_threshold is not None and with_test:
+        more = augment(own, score(fitted, part("test"), features), pseudo_threshold)
+        fitted = fit(more.drop("is_pseudo"), features, preset, seed)
     return reduce(lambda a, b: a.unionByName(b), [
-        score(fitted, rows, features).select(
+        score(fitted, part(source), features).select(
             "record_id", F.lit(model).alias("model"), F.lit(seed).alias("seed"),
-            F.lit(f).alias(fold), F.lit(kind).alias("kind"), "p") for kind, rows in wanted])
+            F.lit(f).alias(fold), F.lit(kind).alias("kind"), "p")
+        for source, kind in [("held", "oof"), *[("test", "test")] * with_test]])
 
 
 def stack(

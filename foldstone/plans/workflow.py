@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldstone import constants as K
 from foldstone.functions.features import add_features, feature_columns
-from foldstone.operators import blend, calibrate, encode, folds, impute, metrics, profile, pseudo
+from foldstone.operators import (
+    blend,
+    calibrate,
+    encode,
+    folds,
+    impute,
+    metrics,
+    profile,
+    pseudo,
+    verify,
+)
 from foldstone.operators.joins import enrich
 from foldstone.plans import models
 from foldstone.plans.clusters import assign_clusters, fit_clusters
 from foldstone.plans.grid import WORKERS, Grid, fingerprint
 from foldstone.session import checkpoint
+from foldstone.sources.publish import publish, read_published
 from foldstone.sources.sinks import better, to_predictions, write_predictions
+from foldstone.sources.tables import PREDICTION_SCHEMA
 
 KEYS = ("record_id", "target", "fold", "split", "is_train")
 
@@ -46,13 +57,17 @@ def build_features(
 
 def build_train_test(
     train: DataFrame, test: DataFrame, enrichment: DataFrame, context: bool = False,
-    seed: int = K.SEED, k: int = K.FOLDS,
+    seed: int = K.SEED, k: int = K.FOLDS, grid: Grid | None = None,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """(train, test, features): both tables featured and encoded, train with folds.
 
     Clusters are fitted on train only, target means out of fold on train and from all of train on
-    test.  Both frames are checkpointed: every fold of every model reads them again.
+    test.  Both frames are stored, as cells of ``grid`` if given: every fold of every model reads
+    them again.
     """
+    if grid is not None and grid.done("features/train") and grid.done("features/test"):
+        left, right = grid.read(["features/train"]), grid.read(["features/test"])
+        return left, right, [c for c in right.columns if c != "record_id"]
     left, clusters = build_features(train, enrichment)
     right, _ = build_features(test, enrichment, clusters)
     if context:
@@ -66,8 +81,12 @@ def build_train_test(
     encoded = encode.target_encode_oof(left, columns)
     unseen = encode.target_encode_full(left, right, columns)
     features = feature_columns(encoded, exclude=KEYS)
-    return (checkpoint(encoded.select("record_id", "target", "fold", *features)),
-            checkpoint(unseen.select("record_id", *features)), features)
+    encoded = encoded.select("record_id", "target", "fold", *features)
+    unseen = unseen.select("record_id", *features)
+    if grid is None:
+        return checkpoint(encoded), checkpoint(unseen), features
+    return (grid.cell("features/train", lambda: encoded),
+            grid.cell("features/test", lambda: unseen), features)
 
 
 def _labelled(oof: DataFrame, train: DataFrame) -> DataFrame:
@@ -78,10 +97,27 @@ def _presets(names: Sequence[str], overrides: dict | None) -> dict[str, models.P
     return {n: models.PRESETS[n].with_settings(**(overrides or {}).get(n, {})) for n in names}
 
 
-def _cross_fit_all(train, test, features, presets, k, seed, threshold=None) -> DataFrame:
-    parts = [models.cross_fit(train, test, features, name, preset, k=k, seed=seed,
-                              pseudo_threshold=threshold) for name, preset in presets.items()]
-    return checkpoint(reduce(lambda a, b: a.unionByName(b), parts))
+def _cross_fit_all(
+    train, test, features, presets, k, seed, grid: Grid, stage: str, threshold=None
+) -> DataFrame:
+    """Predictions of all families and folds; every fit is a cell of the grid.
+
+    A fold's rows are filled and stored once for all families.
+    """
+    row = f"{stage}/rows/seed={seed}/fold="
+    grid.run({f"{row}{f}": (lambda f=f: models.fold_rows(train, test, features, f)) for f in range(k)})
+    cells = {
+        f"{stage}/{name}/seed={seed}/fold={f}": (lambda name=name, f=f: models.filled_fold_scores(
+            grid.read([f"{row}{f}"]), features, name, f, presets[name], seed, threshold))
+        for name in presets for f in range(k)}
+    grid.run(cells)
+    return grid.read(cells)
+
+
+def _manifest(name: str, train, test, enrichment, k, presets, folder, workers) -> Grid:
+    """The grid of a workflow's stages, named by what all of them are made from."""
+    given = [fingerprint(df) for df in (train, test, enrichment)]
+    return Grid(train.sparkSession, folder, (name, *given, k, presets), workers)
 
 
 def _wide(predictions: DataFrame, kind: str, names: Sequence[str]) -> DataFrame:
@@ -91,11 +127,18 @@ def _wide(predictions: DataFrame, kind: str, names: Sequence[str]) -> DataFrame:
 def train_blend_calibrate(
     train: DataFrame, test: DataFrame, enrichment: DataFrame, overrides: dict | None = None,
     k: int = K.FOLDS, names: Sequence[str] = ("leafwise", "levelwise", "ordered"),
+    folder: str | None = None, workers: int = WORKERS,
 ) -> Outcome:
     """Three boosted families with pseudo-labels per fold, the best blend, and a calibration that
-    is kept only if nested validation says it helps."""
-    left, right, features = build_train_test(train, test, enrichment, k=k)
-    predictions = _cross_fit_all(left, right, features, _presets(names, overrides), k, K.SEED,
+    is kept only if nested validation says it helps.
+
+    Stages are stored below ``folder`` and skipped by a later run whose tables and settings are
+    unchanged.
+    """
+    presets = _presets(names, overrides)
+    grid = _manifest("blend", train, test, enrichment, k, presets, folder, workers)
+    left, right, features = build_train_test(train, test, enrichment, k=k, grid=grid)
+    predictions = _cross_fit_all(left, right, features, presets, k, K.SEED, grid, "first",
                                  K.PSEUDO_THRESHOLD)
     oof = _labelled(_wide(predictions, "oof", names), left)
     best = blend.search_blend(oof, names, K.BLEND_CANDIDATES).first()
@@ -119,22 +162,29 @@ def stack_with_pseudo(
     k: int = K.FOLDS,
     names: Sequence[str] = ("ordered", "leafwise", "levelwise", "extra_trees", "perceptron"),
     second: Sequence[str] = ("ordered", "leafwise", "levelwise"),
+    folder: str | None = None, workers: int = WORKERS,
 ) -> Outcome:
     """Five families stacked by a logistic regression; confident stacked scores become training
-    rows for a second round; both rounds are blended and calibrated."""
-    left, right, features = build_train_test(train, test, enrichment, context=True, k=k)
+    rows for a second round; both rounds are blended and calibrated.
+
+    Stages are stored below ``folder`` and skipped by a later run whose tables and settings are
+    unchanged.
+    """
     presets = _presets(names, overrides)
-    first = _cross_fit_all(left, right, features, presets, k, K.SEED)
+    grid = _manifest("stack", train, test, enrichment, k, (presets, tuple(second)), folder, workers)
+    left, right, features = build_train_test(train, test, enrichment, context=True, k=k, grid=grid)
+    first = _cross_fit_all(left, right, features, presets, k, K.SEED, grid, "first")
     oof = _labelled(_wide(first, "oof", names), left.select("record_id", "target")).join(
         left.select("record_id", "fold"), "record_id")
-    stacked = checkpoint(models.stack(oof, _wide(first, "test", names), names, k=k))
+    stacked = grid.cell("stacked", lambda: models.stack(
+        oof, _wide(first, "test", names), names, k=k))
     confident = pseudo.select_confident(
         stacked.where("kind = 'test'"), *K.PSEUDO_STACK_BAND)
     extra = right.join(confident.select("record_id", F.col("pseudo_label").alias("target")),
                        "record_id").withColumn("fold", F.lit(None).cast("int"))
-    grown = checkpoint(left.unionByName(extra))
-    again = _cross_fit_all(grown, right, features,
-                           {n: presets[n] for n in second}, k, K.SEED)
+    grown = grid.cell("grown", lambda: left.unionByName(extra))
+    again = _cross_fit_all(grown, right, features, {n: presets[n] for n in second}, k, K.SEED, grid,
+                           "second")
     weights = K.FIXED_BLENDS["stack50_ordered20_leaf15_level15"]
 
     def combine(kind):
@@ -205,9 +255,11 @@ def bag_seeds(
         "bag", fingerprint(bare), fingerprint(test), k, presets, *features), workers)
     grid.run({f"folds/seed={s}": (lambda s=s: folds.stratified_folds(bare, k=k, seed=s))
               for s in seeds})
+    grid.run({f"rows/seed={s}/fold={f}": (lambda s=s, f=f: models.fold_rows(
+        grid.read([f"folds/seed={s}"]), test, features, f)) for s in seeds for f in range(k)})
     cells = {
-        f"{name}/seed={s}/fold={f}": (lambda name=name, s=s, f=f: models.fold_scores(
-            grid.read([f"folds/seed={s}"]), test, features, name, f, presets[name], s))
+        f"{name}/seed={s}/fold={f}": (lambda name=name, s=s, f=f: models.filled_fold_scores(
+            grid.read([f"rows/seed={s}/fold={f}"]), features, name, f, presets[name], s))
         for s in seeds for f in range(k) for name in presets}
     grid.run(cells)
     mean = blend.fold_average(grid.read(cells), by=("kind", "model"))
@@ -218,9 +270,18 @@ def bag_seeds(
 
 def run(
     train: DataFrame, test: DataFrame, enrichment: DataFrame, paths: str | Sequence[str],
-    overrides: dict | None = None, k: int = K.FOLDS,
+    overrides: dict | None = None, k: int = K.FOLDS, folder: str | None = None,
 ) -> Outcome:
     """Train, blend, calibrate, write the prediction file(s)."""
-    outcome = train_blend_calibrate(train, test, enrichment, overrides, k)
+    outcome = train_blend_calibrate(train, test, enrichment, overrides, k, folder=folder)
     write_predictions(outcome.predictions, paths)
     return outcome
+
+
+def published_check(outcome: Outcome, template: DataFrame, path: str) -> DataFrame:
+    """Publish an outcome's predictions, read them back and check them against the template."""
+    columns = {"id": "ID", "label": "TargetF1", "score": "TargetRAUC"}
+    publish(outcome.predictions.select(*[F.col(a).alias(b) for a, b in columns.items()]), path)
+    back = read_published(template.sparkSession, path, PREDICTION_SCHEMA)
+    return verify.verify_predictions(
+        back.select(*[F.col(b).alias(a) for a, b in columns.items()]), template)

@@ -15,7 +15,8 @@ from foldstone.plans import models, tuning, workflow
 from foldstone.plans.clusters import assign_clusters, fit_clusters
 from foldstone.plans.importance import feature_importance, permutation_importance
 from foldstone.plans.pseudo_study import threshold_refits
-from foldstone.session import checkpoint
+from foldstone.session import checkpoint, shared_folder
+from foldstone.sources.sinks import prediction_template
 from foldstone.workload import fixtures as X
 from foldstone.workload.registry import query, tidy
 
@@ -156,6 +157,29 @@ def seed_bag_scores(spark, sf):
     return tidy(workflow.bag_seeds(train, test, FEATURES, weights, overrides=QUICK))
 
 
+def _tables(spark, sf):
+    return (X.train(spark, sf).drop("split"), X.test(spark, sf).drop("split"), X.enrichment(spark, sf))
+
+
+@query("train_and_submit")
+def train_and_submit(spark, sf):
+    """From tables to a published prediction set: features, three families with pseudo-labels per
+    fold, blend, calibration gate; the checks of the set as read back."""
+    train, test, side = _tables(spark, sf)
+    outcome = workflow.train_blend_calibrate(train, test, side, QUICK)
+    return tidy(workflow.published_check(
+        outcome, prediction_template(test), shared_folder(spark, "predictions")))
+
+
+@query("stack_and_submit")
+def stack_and_submit(spark, sf):
+    """Five families stacked, confident rows added, refitted, blended, calibrated, published."""
+    train, test, side = _tables(spark, sf)
+    outcome = workflow.stack_with_pseudo(train, test, side, QUICK)
+    return tidy(workflow.published_check(
+        outcome, prediction_template(test), shared_folder(spark, "predictions")))
+
+
 def _fitted_forest(spark, sf):
     train, _ = _split(spark, sf)
     filled = median_impute(train, train, FEATURES)

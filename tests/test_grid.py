@@ -135,18 +135,18 @@ def test_bag_is_resumed_with_equal_rows(planted, tmp_path, monkeypatch):
     bag = lambda: workflow.bag_seeds(
         train, test, FEATURES, {"leafwise": 0.6, "forest": 0.4}, seeds=(1, 2), k=2,
         overrides=quick, folder=str(tmp_path), workers=2)
-    real, calls = models.fold_scores, []
+    real, calls = models.filled_fold_scores, []
 
     def dies(*a, **kw):
-        calls.append(a[4])
+        calls.append(1)
         if len(calls) == 6:
             raise RuntimeError("killed")
         return real(*a, **kw)
 
-    monkeypatch.setattr(models, "fold_scores", dies)
+    monkeypatch.setattr(models, "filled_fold_scores", dies)
     with pytest.raises(RuntimeError):
         bag()
-    monkeypatch.setattr(models, "fold_scores", lambda *a, **kw: calls.append(a[4]) or real(*a, **kw))
+    monkeypatch.setattr(models, "filled_fold_scores", lambda *a, **kw: calls.append(1) or real(*a, **kw))
     before = len(calls)
     out = rows_of(bag())
     assert len(calls) - before == 1 and len(out) == 600
