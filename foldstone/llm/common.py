@@ -9,6 +9,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,24 @@ def releasing(run):
     return wrapped
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20):
+    """Jobs run inside hand their rows to Python in batches of at most so many rows and bytes.
+
+    The default batches hold tens of megabytes of texts, several times over on their way.
+    """
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+            "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

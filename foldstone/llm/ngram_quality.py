@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .bpe_lexicon import mapped, save
-from .common import batches, mix, releasing, staged, WORD
+from .common import batches, bounded_batches, mix, releasing, staged, WORD
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -407,10 +407,12 @@ def assess(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orde
            keep_text: bool = True, below: float = BELOW, above: float = ABOVE,
            max_ngrams: int = MAX_NGRAMS) -> DataFrame:
     """``docs`` with counts, ``perplexity``, ``base_failed`` and ``kept``."""
-    model = staged(kneser_ney(count_grams(docs, text_col, lang_col, order), order))
-    stored = store(model, order, max_ngrams)
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("base_failed", "kept")])
-    scored = score(docs, stored, model, text_col, lang_col, order, keep_text)
+    given, docs = docs, docs.select(*[
+        F.col(f"`{c}`") for c in docs.columns if c not in ("base_failed", "kept")])
+    with bounded_batches(docs.sparkSession):
+        model = staged(kneser_ney(count_grams(given, text_col, lang_col, order), order))
+        stored = store(model, order, max_ngrams)
+        scored = score(docs, stored, model, text_col, lang_col, order, keep_text)
     limits = bands(scored, lang_col, below, above).select(
         F.col("lang").alias("_lang"), F.col("low").alias("_low"), F.col("high").alias("_high"))
     inside = F.log("perplexity").between(F.col("_low"), F.col("_high"))
