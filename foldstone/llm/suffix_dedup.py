@@ -4,8 +4,13 @@ A string of ``length`` bytes is assigned to an anchor: of the ``GRAM``-byte stri
 one with the least hash (the leftmost of equals).  Equal strings have equal anchors, so
 
 1. tasks cut each text into runs of starts with one anchor; anchors met once are done;
-2. runs with a shared anchor are shuffled by it, equal runs of a task as one, with their places;
-3. a task concatenates the runs of many anchors and sorts their suffixes in two stages: suffixes
+2. runs of an anchor met more than ``SPLIT`` times are cut by where the anchor lies in the string
+   and renamed by the bytes that all strings of such a class share: first in classes of ``CLASSES[0]``
+   places, where the name is still that frequent in classes of one, where it stands for the whole
+   string.  Equal strings keep equal names, and names met once are done, so a phrase with different
+   text around it in a third of all documents leaves nothing;
+3. runs with a shared anchor are shuffled by it, equal runs of a task as one, with their places;
+4. a task concatenates the runs of many anchors and sorts their suffixes in two stages: suffixes
    smaller than their successor are sorted directly, the others are induced by scanning the buckets
    of first bytes; neighbours in this order whose common prefix reaches ``length`` repeat.
 
@@ -19,7 +24,9 @@ one another.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +36,10 @@ from pyspark.sql import functions as F
 from .common import batches, partitions, rolling, row_key, staged, utf8_buffer
 
 LENGTH, GRAM = 400, 32
+#: Runs of one anchor that a task holds at most, and places of the anchor that make a finer name.
+SPLIT, CLASSES = 4096, (32, 1)
+#: At most so many names can each have a larger share of all runs: these are broadcast.
+SHARES = 50_000
 _BLOCK = 1 << 20
 #: Bytes of runs that are sorted together, and places held until then.
 SORTED, PLACES = 1 << 20, 50_000
@@ -37,7 +48,7 @@ BREAK = 0xFF  # in no UTF-8 text
 
 def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH,
          gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, first start, last start, anchor hash) of runs of starts with one anchor."""
+    """(text, first start, last start, anchor place, its hash) of runs of starts with one anchor."""
     out = []
     width = length - gram + 1
     for begin in range(0, len(data), _BLOCK):
@@ -72,10 +83,11 @@ def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH,
         ends[:-1] &= ~valid[1:] | new[1:]
         last = np.flatnonzero(ends)
         text = np.searchsorted(at, first + begin, "right") - 1
-        out.append((text, first + begin - at[text], last + begin - at[text], h[anchor[first]]))
+        out.append((text, first + begin - at[text], last + begin - at[text],
+                    anchor[first] + begin - at[text], h[anchor[first]]))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -168,30 +180,94 @@ def _ranges(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
                     (starts[np.r_[gap, len(starts) - 1]] + length).tolist()))
 
 
+def finer(data: bytes, run: dict, width: int, length: int = LENGTH,
+          gram: int = GRAM) -> Iterator[tuple[int, int, int]]:
+    """(name, first, last): a run cut by the anchor's place in the string, ``width`` places a class.
+
+    The strings of a class share the bytes from its least place before the anchor to the end of the
+    string that begins at its largest; they and the class make the name.
+    """
+    first, last, place = run["first"], run["last"], run["place"]
+    for j in range((place - last) // width, (place - first) // width + 1):
+        low, high = j * width, min(j * width + width - 1, length - gram)
+        name = hashlib.blake2b(data[place - low:place - high + length], digest_size=8,
+                               salt=struct.pack("<qi", run["anchor"], j)).digest()
+        yield (int.from_bytes(name, "little", signed=True),
+               max(first, place - high), min(last, place - low))
+
+
+def met_again(found: DataFrame) -> DataFrame:
+    """The runs whose anchor has several, and ``n``, how many.
+
+    Anchors with more than one in ``SHARES`` of all runs are fewer than ``SHARES``: they reach the
+    runs by broadcast, so none of them gathers its runs in one task.
+    """
+    counts = staged(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
+    most = max(SPLIT, found.count() // SHARES)
+    common = F.broadcast(counts.filter(F.col("n") > most))
+    rest = found.join(common, "anchor", "left_anti").join(
+        counts.filter(F.col("n") <= most), "anchor")
+    return found.join(common, "anchor").unionByName(rest)
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+            length: int = LENGTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
     """(id, text, spans): spans are the sorted maximal byte ranges to remove, null if none."""
     spark = docs.sparkSession
     n = partitions(spark)
+    names = ["anchor", "key", "first", "last", "place"]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"),
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.select(row_key("id", "text").alias("key"), "id", "text")
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts, 8 << 20):
-            text, first, last, anchor = runs(*utf8_buffer(batch.column("text")), length, gram)
+            text, first, last, place, anchor = runs(*utf8_buffer(batch.column("text")), length, gram)
             keys = batch.column("key").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor.view(np.int64)), pa.array(keys[text]),
-                 pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                ["anchor", "key", "first", "last"])
+                 pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+                 pa.array(place.astype(np.int32))], names)
+
+    def cut_again(width: int):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches(parts, 1 << 20):
+                out = []
+                for key, text, own in zip(*(batch.column(c).to_pylist()
+                                            for c in ("key", "text", "runs"))):
+                    data = text.encode()
+                    for r in own:
+                        out += [(name, key, a, b, r["place"])
+                                for name, a, b in finer(data, r, width, length, gram)]
+                    if len(out) > 100_000:
+                        yield pack(out)
+                        out = []
+                if out:
+                    yield pack(out)
+
+        def pack(out: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+        return run
+
+    def per_text(found: DataFrame, *names: str) -> DataFrame:
+        return found.groupBy("key").agg(F.collect_set(F.struct(*names)).alias("runs"))
 
     # rows equal in id and text have the same runs: both count, and they are looked at once
-    found = staged(rows.select("key", "text").mapInArrow(
-        cut, "anchor long, key long, first int, last int"))
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    of_text = (found.join(shared, "anchor").groupBy("key")
-               .agg(F.collect_set(F.struct("first", "last", "anchor")).alias("runs")))
+    schema = "anchor long, key long, first int, last int, place int"
+    found = staged(rows.select("key", "text").mapInArrow(cut, schema))
+    few = []
+    for width in (*CLASSES, None):
+        again = staged(met_again(found))
+        few.append(again if width is None else again.filter(F.col("n") <= split))
+        hot = again.filter(F.col("n") > split)
+        if width is None or hot.isEmpty():
+            break
+        found = staged(rows.join(per_text(hot, "first", "last", "place", "anchor"), "key")
+                       .select("key", "text", "runs").mapInArrow(cut_again(width), schema))
+    of_text = per_text(reduce(DataFrame.unionByName, few), "first", "last", "anchor")
 
     def ship(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each different run of a batch once with its number of places (kind 0), and its place (1).

@@ -210,6 +210,30 @@ def test_suffix_removal(docs, rows, empty, spark):
     assert remove(repeats(empty)).count() == 0
 
 
+def test_suffix_removal_with_a_frequent_phrase(spark):
+    """A phrase in a third of the documents, with its own text around it and, in some, shared text."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, long_phrase = noise(30), noise(36)
+    tails = [noise(25) for _ in range(4)]
+    rows = []
+    for i in range(240):
+        text = noise(60)
+        if i % 3 == 0:
+            text += phrase + (tails[i % 4] if i % 5 == 0 else noise(25)) + noise(30)
+        elif i % 3 == 1 and i % 2:
+            text += long_phrase + noise(50)
+        rows.append((i, text + noise(20), "k", 1))
+    rows += [(500, "ab" * 200, "k", 1), (501, "x" * 90, "k", 1), rows[0]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, runs string, place int")
+    want = sorted((r[0], *k) for r, k in zip(rows, brute.kept_bytes([r[1] for r in rows], 40)))
+    assert 10 < sum(1 for w in want if w[2]) < 200
+    for split in (4, 20, 4096):  # both finer levels, one of them, none
+        found = remove(repeats(table, length=40, gram=8, split=split))
+        assert sorted((r.id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))
+                      for r in found.collect()) == want
+
+
 def test_vectors(spark):
     rng = random.Random(5)
     base = [[rng.gauss(0, 1) for _ in range(24)] for _ in range(12)]

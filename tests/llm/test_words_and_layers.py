@@ -17,7 +17,7 @@ from foldstone.llm import secret_scan as secrets
 from foldstone.llm.common import batches, rolling, utf8_buffer, word_hashes
 from foldstone.llm.hadamard_lsh import buckets, hadamard, rotate
 from foldstone.llm.jaccard_join import Block, shingle_sets, spanning_links
-from foldstone.llm.suffix_dedup import repeated_starts, runs, two_stage_order
+from foldstone.llm.suffix_dedup import finer, repeated_starts, runs, two_stage_order
 from foldstone.llm.toxicity import LabelModel
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -171,15 +171,26 @@ def test_runs_cover_every_start_once_and_agree_on_equal_strings():
     texts += [texts[0] + texts[1], "aaaa" * 40, "", None]
     data, at = utf8_buffer(pa.array(texts))
     length, gram = 40, 8
-    anchor_of, seen = {}, set()
-    for text, first, last, anchor in zip(*(c.tolist() for c in runs(data, at, length, gram))):
+    anchor_of, name_of, seen = {}, {}, set()
+    for text, first, last, place, anchor in zip(*(c.tolist() for c in runs(data, at, length, gram))):
         for s in range(first, last + 1):
             assert (text, s) not in seen
             seen.add((text, s))
             piece = texts[text][s:s + length]
-            assert anchor_of.setdefault(piece, anchor) == anchor
+            assert anchor_of.setdefault(piece, (anchor, place - s)) == (anchor, place - s)
+        # finer names: every start once, equal strings alike, and in classes of one name for each
+        run = {"first": first, "last": last, "place": place, "anchor": anchor - (1 << 63)}
+        for width in (32, 5, 1):
+            parts = list(finer(texts[text].encode(), run, width, length, gram))
+            assert sorted(s for _, a, b in parts for s in range(a, b + 1)) == list(range(first, last + 1))
+            for name, a, b in parts:
+                for s in range(a, b + 1):
+                    piece = texts[text][s:s + length]
+                    assert name_of.setdefault((width, piece), name) == name
     assert seen == {(i, s) for i, t in enumerate(texts)
                     for s in range(len(t or "") - length + 1)}
+    ones = {name for (width, _), name in name_of.items() if width == 1}
+    assert len(ones) == len(anchor_of)
 
 
 def test_rolling_and_batches():
