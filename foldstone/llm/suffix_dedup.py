@@ -196,18 +196,18 @@ def finer(data: bytes, run: dict, width: int, length: int = LENGTH,
                max(first, place - high), min(last, place - low))
 
 
-def met_again(found: DataFrame) -> DataFrame:
-    """The runs whose anchor has several, and ``n``, how many.
+def met_again(found: DataFrame, split: int = SPLIT) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Runs whose anchor has several but not too many, runs of the others, and those anchors.
 
-    Anchors with more than one in ``SHARES`` of all runs are fewer than ``SHARES``: they reach the
-    runs by broadcast, so none of them gathers its runs in one task.
+    Too many are more than ``split`` and more than one in ``SHARES`` of all runs, so fewer than
+    ``SHARES`` anchors: they reach the runs by broadcast, and none gathers its runs in one task.
     """
     counts = staged(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
-    most = max(SPLIT, found.count() // SHARES)
-    common = F.broadcast(counts.filter(F.col("n") > most))
-    rest = found.join(common, "anchor", "left_anti").join(
-        counts.filter(F.col("n") <= most), "anchor")
-    return found.join(common, "anchor").unionByName(rest)
+    most = max(split, found.count() // SHARES)
+    often = F.broadcast(counts.filter(F.col("n") > most).select("anchor"))
+    few = found.join(often, "anchor", "left_anti").join(
+        counts.filter(F.col("n") <= most).select("anchor"), "anchor")
+    return few, found.join(often, "anchor"), [r.anchor for r in often.collect()]
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -229,16 +229,33 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
                  pa.array(place.astype(np.int32))], names)
 
-    def cut_again(width: int):
+    def cut_again(levels: list[set[int]]):
+        """Runs of the last level's names; texts are cut anew, which is less than shuffling them."""
+
+        def names_of(data: bytes, run: dict) -> Iterator[dict]:
+            open_runs = [run]
+            for often, width in zip(levels, CLASSES):
+                open_runs = [{"anchor": name, "first": a, "last": b, "place": run["place"]}
+                             for r in open_runs if r["anchor"] in often
+                             for name, a, b in finer(data, r, width, length, gram)]
+            yield from open_runs
+
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches(parts, 1 << 20):
-                out = []
-                for key, text, own in zip(*(batch.column(c).to_pylist()
-                                            for c in ("key", "text", "runs"))):
-                    data = text.encode()
-                    for r in own:
-                        out += [(name, key, a, b, r["place"])
-                                for name, a, b in finer(data, r, width, length, gram)]
+            first_level = np.array(sorted(levels[0]), np.int64)
+            for batch in batches(parts, 4 << 20):
+                text, first, last, place, anchor = runs(*utf8_buffer(batch.column("text")), length,
+                                                        gram)
+                anchor = anchor.view(np.int64)
+                out, at, data = [], -1, b""
+                for i in np.flatnonzero(np.isin(anchor, first_level)).tolist():
+                    if text[i] != at:
+                        at = int(text[i])
+                        data, key = batch.column("text")[at].as_py().encode(), batch.column("key")[at]
+                        key = key.as_py()
+                    own = {"anchor": int(anchor[i]), "first": int(first[i]), "last": int(last[i]),
+                           "place": int(place[i])}
+                    out += [(r["anchor"], key, r["first"], r["last"], r["place"])
+                            for r in names_of(data, own)]
                     if len(out) > 100_000:
                         yield pack(out)
                         out = []
@@ -258,16 +275,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # rows equal in id and text have the same runs: both count, and they are looked at once
     schema = "anchor long, key long, first int, last int, place int"
     found = staged(rows.select("key", "text").mapInArrow(cut, schema))
-    few = []
-    for width in (*CLASSES, None):
-        again = staged(met_again(found))
-        few.append(again if width is None else again.filter(F.col("n") <= split))
-        hot = again.filter(F.col("n") > split)
-        if width is None or hot.isEmpty():
+    kept, levels = [], []
+    for level in range(len(CLASSES) + 1):
+        few, many, often = met_again(found, split)
+        kept.append(few)
+        if not often:
+            break
+        if level == len(CLASSES):  # names that stand for whole strings
+            kept.append(many)
             break
-        found = staged(rows.join(per_text(hot, "first", "last", "place", "anchor"), "key")
-                       .select("key", "text", "runs").mapInArrow(cut_again(width), schema))
-    of_text = per_text(reduce(DataFrame.unionByName, few), "first", "last", "anchor")
+        levels.append(set(often))
+        found = staged(rows.select("key", "text").mapInArrow(cut_again(list(levels)), schema))
+    of_text = per_text(reduce(DataFrame.unionByName, kept), "first", "last", "anchor")
 
     def ship(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each different run of a batch once with its number of places (kind 0), and its place (1).
