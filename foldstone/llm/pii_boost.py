@@ -10,9 +10,9 @@ rarely passes holds or a word before the candidate names it, 0 where a check fai
 it names something else, and null otherwise; none of these words is a feature (checks are).  Base matches, and
 matches of base patterns that fail, are also rewritten into the wider notations where they stand,
 as right and wrong examples of them.  Boosted trees learn the labels from format and surroundings.
-For each kind the threshold is the least that reaches ``PRECISION`` on labelled candidates kept out
-of the fit that touch no base span, (right + 1) / (all + 2); a kind without such a threshold adds
-none.  Candidates become spans if they touch no base span, their evidence is not 0 and their score
+All labelled candidates take part, a quarter of them kept out of the fit.  For each kind the
+threshold is the least that reaches ``PRECISION`` on that quarter, (right + 1) / (all + 2); a kind
+without such a threshold adds none.  Candidates become spans if they touch no base span, their evidence is not 0 and their score
 reaches the threshold.
 
 A null text is empty and has no spans.  Rows equal in id and text get the same spans.
@@ -50,7 +50,6 @@ WIDER = {
             r"|\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "phone": r"(?:\(?\+?[0-9]{1,4}\)?[\x20./-]{0,2}){1,2}[0-9]{3,4}[\x20./-]?[0-9]{3,4}",
 }
-FIT_ROWS = 20_000  # candidates that the trees are fitted on
 PRECISION = 0.95
 AROUND = 24
 FEATURES = ("size", "digits", "letters", "marks", "groups", "spaces", "distinct", "plus", "at",
@@ -273,8 +272,11 @@ def untouched(found: DataFrame) -> DataFrame:
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  fit_rows: int = FIT_ROWS, precision: float = PRECISION) -> DataFrame:
-    """(id, base, more): arrays of spans (kind, start, end); ``more`` are the accepted candidates."""
+                  precision: float = PRECISION) -> DataFrame:
+    """(id, base, more): arrays of spans (kind, start, end); ``more`` are the accepted candidates.
+
+    Trees learn from every labelled candidate but a quarter, thresholds from that whole quarter.
+    """
     found = staged(candidates(docs, id_col, text_col))
     once = found.filter("size(wider) > 0 or size(turned) > 0").select(
         "key", "base", "wider", "turned").dropDuplicates(["key"])
@@ -290,16 +292,11 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     slim = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
     known = rows.filter("y is not null")
-    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    if len(counts) < 2:  # all right or all wrong: nothing to learn from
-        return found.select("id", slim.alias("base"), none.alias("more"))
-    part = min(1.0, fit_rows / sum(counts.values()))
-    cell = F.pmod(F.xxhash64("key", "kind", "start", "end"), F.lit(1 << 20))
     held = F.pmod(F.xxhash64("end", "start", "key"), F.lit(4)) == 0
-    sample = known.filter(cell < int(part * (1 << 20)) + 1)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x")
-    data = staged(sample.select("kind", "y", held.alias("held"), *FEATURES))
+    data = known.select("kind", "y", held.alias("held"), *FEATURES)
     fit = data.filter("not held")
+    # two rows at most; all right or all wrong: nothing to learn from
     if {r.y for r in fit.select("y").distinct().collect()} != {0.0, 1.0}:
         return found.select("id", slim.alias("base"), none.alias("more"))
     trees = GBTClassifier(featuresCol="x", labelCol="y", maxIter=20, maxDepth=4, maxBins=32,
