@@ -3,22 +3,23 @@
 Space is cut twice by k-d splits fitted on samples, as a range partitioner does for sorting: into
 regions, and every region into cells of about ``CELL_ROWS`` points.  There are about as many regions
 as cells in a region, so neither list grows faster than the square root of the points; the first is
-known to all tasks, the second only where its region is worked on.  Round one compares each query
-with the points of its own cell and so gets a bound on the distance; round two visits the cells
-whose bounding box lies within the bound, looked for only in regions whose box does.  The samples
-affect speed only, never the answer.
+known to all tasks, the second only where its region is worked on.  Round one streams each query past
+the points of its nearest region and so gets a bound on the distance; round two past those of the
+other regions whose bounding box lies within the bound.  In a region only cells are compared whose
+box lies within the best distance so far.  Points and queries move once a round, and pairs of them
+never leave a task.  The samples affect speed only, never the answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldstone.functions import scalar as S
@@ -72,6 +73,60 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+class _Held:
+    """A region's points in a task: sorted by cell and id, with the cells' boxes."""
+
+    def __init__(self, table: pa.Table, width: int):
+        rid = table["rid"].combine_chunks()
+        place = np.empty(len(rid), np.int64)
+        place[pc.sort_indices(rid, null_placement="at_start").to_numpy()] = np.arange(len(rid))
+        cell = table["cell"].to_numpy()
+        order = np.lexsort((place, cell))
+        self.rid, self.place = rid.take(pa.array(order)), place[order]
+        self.x = np.concatenate([_matrix(c, width) for c in table["x"].chunks])[order]
+        cell = cell[order]
+        self.at = np.r_[np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell)]
+        self.low = np.minimum.reduceat(self.x, self.at[:-1])
+        self.high = np.maximum.reduceat(self.x, self.at[:-1])
+
+    def closest(self, asked: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(squared distance, index or -1) of the closest point not beyond ``best``, of the
+        smallest id if there are several."""
+        best, at = best.copy(), np.full(len(asked), -1)
+        size = max(1, HELD_GAPS // len(self.low))
+        for i in range(0, len(asked), size):
+            gaps = _gaps(asked[i:i + size], self.low, self.high)
+            own = gaps.argmin(axis=1)
+            for last in (False, True):
+                # the nearest cell of each query first: it bounds what is visited after
+                near = gaps <= best[i:i + size, None] * (1 + 1e-9)
+                first = own[:, None] == np.arange(gaps.shape[1])
+                near &= first ^ last
+                for cell in np.flatnonzero(near.any(axis=0)):
+                    rows = np.flatnonzero(near[:, cell])
+                    if last:
+                        rows = rows[gaps[rows, cell] <= best[i + rows] * (1 + 1e-9)]
+                    self._compare(asked, best, at, i + rows, self.at[cell], self.at[cell + 1])
+        return best, at
+
+    def _compare(self, asked, best, at, rows, lo, hi) -> None:
+        """Lower ``best`` of some queries to what the points from lo to hi offer."""
+        for j in range(0, len(rows), max(1, HELD_GAPS // (hi - lo))):
+            some = rows[j:j + max(1, HELD_GAPS // (hi - lo))]
+            square = 0.0
+            for d in range(asked.shape[1]):
+                away = asked[some, d, None] - self.x[lo:hi, d]
+                square = square + away * away
+            # points of a cell are in order of their ids, so the first least is the smallest id
+            pick = square.argmin(axis=1)
+            found = square[np.arange(len(some)), pick]
+            pick += lo
+            held = at[some]
+            better = (found < best[some]) | ((found == best[some]) & (
+                (held < 0) | (self.place[pick] < self.place[held])))
+            best[some[better]], at[some[better]] = found[better], pick[better]
+
+
 def _by_region(
     heads: DataFrame, rows: DataFrame, parts: int, spread: dict[int, int],
     start: Callable, step: Callable, schema: str,
@@ -174,8 +229,8 @@ class Cells:
             found["region"].to_numpy(np.int64), np.array(found["low"].tolist(), float).reshape(-1, width),
             np.array(found["high"].tolist(), float).reshape(-1, width)))
 
-    def home(self, probes: DataFrame) -> DataFrame:
-        """(probe, cell): the cell of the nearest box in the region of the nearest box."""
+    def _nearest_region(self) -> Column:
+        """The region of the nearest box."""
         regions = self.regions
 
         @F.pandas_udf("long")
@@ -186,19 +241,10 @@ class Cells:
                 ids[_gaps(x[i:i + step], low, high).argmin(axis=1)]
                 for i in range(0, len(x), step)] or [np.zeros(0, np.int64)]))
 
-        placed = probes.withColumn("region", nearest(F.struct(*self.at)))
+        return nearest(F.struct(*self.at))
 
-        def step(state, batch):
-            ids, low, high = state
-            x, size = _matrix(batch.column("x"), low.shape[1]), max(1, HELD_GAPS // len(ids))
-            best = [_gaps(x[i:i + size], low, high).argmin(axis=1) for i in range(0, len(x), size)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("probe"), pa.array(ids[np.concatenate(best)])], ["probe", "cell"])
-
-        return self._look(placed, [], step)
-
-    def within(self, probes: DataFrame) -> DataFrame:
-        """(probe, cell): cells but the ``own`` one that may hold a point within ``bound``."""
+    def _reached_regions(self) -> Column:
+        """The regions whose box lies within ``bound``."""
         regions = self.regions
 
         @F.pandas_udf("array<long>")
@@ -211,7 +257,63 @@ class Cells:
                         _gaps(x[i:i + step], low, high) <= limit[i:i + step]]
             return pd.Series(out)
 
-        placed = probes.withColumn("region", F.explode(reached(F.struct(*self.at), F.col("bound"))))
+        return reached(F.struct(*self.at), F.col("bound"))
+
+    def nearest(self, probes: DataFrame) -> DataFrame:
+        """(probe, hit): square and id of each probe's closest point, the smallest id on ties."""
+        homes = probes.withColumn("region", self._nearest_region()).withColumn(
+            "bound", F.lit(float("inf")))
+        first = checkpoint(self._visit(homes))
+        bounded = first.select("probe", F.col("region").alias("own"), "bound", *[
+            F.col("x")[i].alias(a) for i, a in enumerate(self.at)])
+        others = bounded.withColumn("region", F.explode(self._reached_regions())).where(
+            "region <> own")
+        hits = first.unionByName(self._visit(others)).select(
+            "probe", F.struct(F.col("bound").alias("d2"), "rid").alias("hit"))
+        return hits.groupBy("probe").agg(F.min("hit").alias("hit"))
+
+    def _visit(self, placed: DataFrame) -> DataFrame:
+        """(probe, region, x, bound, rid): probes that have a point within their bound in the
+        region they are placed in, with the closest and its squared distance."""
+        # one row per region
+        spread = {r["region"]: -(-r["count"] // PROBES_AT_ONCE)
+                  for r in placed.groupBy("region").count().collect()}
+        width, ids = len(self.at), self.points.schema["rid"].dataType.simpleString()
+        kind = placed.schema["probe"].dataType.simpleString()
+
+        def start(table: pa.Table | None):
+            return None if table is None else _Held(table, width)
+
+        def step(held: _Held, batch: pa.RecordBatch):
+            x = _matrix(batch.column("x"), width)
+            best, at = held.closest(x, batch.column("bound").to_numpy())
+            found = pa.array(np.flatnonzero(at >= 0))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(found) for c in ("probe", "region", "x")],
+                 pa.array(best).take(found), held.rid.take(pa.array(at).take(found))],
+                ["probe", "region", "x", "bound", "rid"])
+
+        heads = self.points.select("rid", "region", "cell", F.array(*self.at).alias("x"))
+        rows = placed.select("probe", "region", F.array(*self.at).alias("x"), "bound")
+        return _by_region(heads, rows, self.parts, spread, start, step,
+                          f"probe {kind}, region long, x array<double>, bound double, rid {ids}")
+
+    def home(self, probes: DataFrame) -> DataFrame:
+        """(probe, cell): the cell of the nearest box in the region of the nearest box."""
+        placed = probes.withColumn("region", self._nearest_region())
+
+        def step(state, batch):
+            ids, low, high = state
+            x, size = _matrix(batch.column("x"), low.shape[1]), max(1, HELD_GAPS // len(ids))
+            best = [_gaps(x[i:i + size], low, high).argmin(axis=1) for i in range(0, len(x), size)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("probe"), pa.array(ids[np.concatenate(best)])], ["probe", "cell"])
+
+        return self._look(placed, [], step)
+
+    def within(self, probes: DataFrame) -> DataFrame:
+        """(probe, cell): cells but the ``own`` one that may hold a point within ``bound``."""
+        placed = probes.withColumn("region", F.explode(self._reached_regions()))
 
         def step(state, batch):
             ids, low, high = state
@@ -274,24 +376,7 @@ def nearest_join(
                             .alias(reference_id),
                             F.lit(None).cast("double").alias("distance"))
 
-    def closest(candidates: DataFrame) -> DataFrame:
-        """Join probes with the points of their cell; partial aggregation keeps one per probe."""
-        square = reduce(lambda a, b: a + b, [
-            (F.col(f"q.{a}") - F.col(f"p.{a}")) * (F.col(f"q.{a}") - F.col(f"p.{a}")) for a in at])
-        return (
-            candidates.alias("q").join(cells.points.alias("p"), F.col("q.cell") == F.col("p.cell"))
-            .select(F.col("q.probe").alias("probe"),
-                    F.struct(square.alias("d2"), F.col("p.rid").alias("rid")).alias("hit"))
-            .groupBy("probe").agg(F.min("hit").alias("hit"))
-        )
-
-    homes = probes.join(cells.home(probes), "probe")
-    first = checkpoint(closest(homes).join(homes, "probe"))
-    bounded = first.select("probe", *at, F.col("hit.d2").alias("bound"), F.col("cell").alias("own"))
-    wider = probes.join(cells.within(bounded), "probe")
-    best = first.select("probe", "hit").unionByName(closest(wider)).groupBy("probe").agg(
-        F.min("hit").alias("hit"))
-    answered = probes.join(best, "probe")
+    answered = probes.join(cells.nearest(probes), "probe")
     return asked.join(answered.select(*at, "hit"), at).select(
         F.col("qid").alias(query_id),
         F.col("hit.rid").alias(reference_id),

@@ -60,3 +60,22 @@ def test_one_place_holds_most_points_and_most_probes(spark, monkeypatch):
     got = nearest.nearest_join(qdf, rdf, ["a", "b"], "qid", "rid").toPandas().set_index("qid")
     d2 = ((ask[:, None] - ref[None]) ** 2).sum(2)
     assert np.allclose([got.loc[i, "distance"] ** 2 for i in range(320)], d2.min(1), rtol=1e-9, atol=0)
+
+
+def test_regions_answer_with_one_row_a_probe_and_the_smallest_id(spark, monkeypatch):
+    """Points and probes meet inside tasks; on a lattice many points are equally close."""
+    monkeypatch.setattr(nearest, "CELL_ROWS", 4)
+    monkeypatch.setattr(nearest, "HELD_GAPS", 300)
+    side = np.arange(20.0)
+    ref = np.array([(a, b) for a in side for b in side])
+    names = [f"p{i:03d}" for i in np.random.default_rng(2).permutation(len(ref))]
+    ask = np.array([(a + 0.5, b + 0.5) for a in side[:9] for b in side[:9]] + [(-3.0, 2.5), (4.0, 4.0)])
+    points = spark.createDataFrame(pd.DataFrame(ref, columns=["x0", "x1"]).assign(rid=names))
+    probes = spark.createDataFrame(pd.DataFrame(ask, columns=["x0", "x1"]).assign(probe=range(len(ask))))
+    cells = nearest.Cells(points, ["x0", "x1"])
+    d2 = ((ask[:, None] - ref[None]) ** 2).sum(2)
+    want = {i: (d.min(), min(n for n, e in zip(names, d) if e == d.min())) for i, d in enumerate(d2)}
+    assert {r["probe"]: tuple(r["hit"]) for r in cells.nearest(probes).collect()} == want
+    placed = probes.selectExpr("*", "double('inf') as bound").crossJoin(
+        spark.createDataFrame([(int(r),) for r in cells.regions.value[0]], "region long"))
+    assert cells._visit(placed).count() == placed.count()
