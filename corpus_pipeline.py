@@ -25,7 +25,7 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the plain rules and the perplexity band of their language keep."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    judged = assess(docs.select(whole.alias("row"), "text", "lang"))
+    judged = assess(docs.select(whole.alias("row"), "text", "lang"), keep_text=False)  # row has it
     return judged.filter("kept").select("row.*")
 
 
